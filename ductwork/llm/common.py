@@ -24,13 +24,18 @@ def lower_ascii(col: Column) -> Column:
     return F.translate(col, UPPER, UPPER.lower())
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the shared checkpoint folder, so that a lost executor costs no recomputation.
-
-    The folder is the session's spark.checkpoint.dir; only where none is set (local tests) a temporary one is taken."""
-    context = df.sparkSession.sparkContext
-    if context.getConf().get("spark.checkpoint.dir") is None and context._jsc.sc().getCheckpointDir().isEmpty():
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's spark.checkpoint.dir; only where none is set (local tests) a temporary one is taken."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
+    if named is None and context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return named or context._jsc.sc().getCheckpointDir().get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The rows, computed once and kept in the shared checkpoint folder, so that a lost executor costs no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
