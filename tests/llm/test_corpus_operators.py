@@ -155,6 +155,17 @@ def brute_components(texts, ids, n=4, share=85):
     return [(ids[i], len(sets[i]), min(group[find(i)])) for i in range(len(texts))]
 
 
+def brute_links(texts, n=4, share=85):
+    """Of each text: how many other sets its own links with."""
+    sets = []
+    for t in texts:
+        w = SPACED.findall((t or "").translate(LOW))
+        sets.append(frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset())
+    every = set(sets) - {frozenset()}
+    count = {s: sum(1 for x in every if x != s and 100 * len(s & x) >= share * len(s | x)) for s in every}
+    return {i: count.get(s, 0) for i, s in enumerate(sets)}
+
+
 def near_copies(seed, base_words, count, edits):
     r = random.Random(seed)
     base = prose(seed, base_words, 2000).split()
@@ -182,6 +193,9 @@ def test_jaccard_components(spark, monkeypatch, hot):
     assert got == sorted(brute_components(texts, list(range(len(texts)))))
     kept = sorted(r.doc_id for r in setjoin.keep_one(docs).collect())
     assert kept == sorted({c for _, _, c in got})
+    linked = {r.doc_id: r for r in setjoin.join(docs, count_links=True).collect()}
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in linked.values()) == got
+    assert {d: r.n_links for d, r in linked.items()} == brute_links(texts)
 
 
 def test_jaccard_repeated_and_missing_ids(spark):
