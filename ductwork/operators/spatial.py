@@ -55,7 +55,7 @@ def nearest(left: DataFrame, right: DataFrame, k: int, first_radius: float, ring
     found, radius, rest = [], float(first_radius), a
     for _ in range(rings):
         last = radius >= farthest
-        near = within_distance(rest, b, farthest if last else radius).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+        near = durable(within_distance(rest, b, farthest if last else radius).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k))
         full = near.groupBy("left_id").agg(F.count(F.lit(1)).alias("n")).where(F.lit(True) if last else F.col("n") >= k).select("left_id")
         found.append(near.join(full, "left_id", "left_semi"))
         if last:

@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ductwork.functions import geometry
-from ductwork.operators import costing, spans, spatial, trees
+from ductwork.operators import costing, depth, planning, spans, spatial, trees
 from ductwork.rules import Rules, half_up
 from ductwork.sources.tables import table
+from ductwork.storage import durable
 
 RULES = Rules()
 QUERIES: dict = {}
@@ -473,3 +474,48 @@ def rounding_sink(spark, sf_dir):
     """Fixed scales and id texts of the writer."""
     o = table(spark, sf_dir, "orders")
     return o.select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("money"), F.col("o_orderkey").cast("string").alias("id"), F.concat(F.lit("n"), F.lpad((F.col("o_orderkey") % 1000).cast("string"), 4, "0")).alias("node"))
+
+
+@query("""with recursive s as (select user_id, row_number() over (partition by user_id order by event_id) as n, floor(value)::BIGINT as a, floor(value * 2)::BIGINT % 50 as b from events),
+dp(user_id, n, x, y) as (select user_id, n, a, b from s where n = 1 union all select s.user_id, s.n, s.a + least(x, y + 10), s.b + least(y, x + 10) from dp join s on s.user_id = dp.user_id and s.n = dp.n + 1)
+select user_id, least(x, y)::BIGINT as total from dp qualify row_number() over (partition by user_id order by n desc) = 1""")
+def depth_dp_states(spark, sf_dir):
+    """Cheapest sequence of two states per user, a change costing 10: the recurrence of the depth profile."""
+    e = table(spark, sf_dir, "events").withColumns({"a": F.floor("value"), "b": F.floor(F.col("value") * 2) % 50})
+    return depth.cheapest_states(e, "user_id", "event_id", [F.col("a"), F.col("b")], 10)
+
+
+@query(f"""with {CUST}, g as (select id, x, y, (id % 7)::VARCHAR as g from cu), w as (select *, max(x) over (partition by g) - min(x) over (partition by g) >= max(y) over (partition by g) - min(y) over (partition by g) as wide, count(*) over (partition by g) as n from g)
+select id, g || case when row_number() over (partition by g order by case when wide then x else y end, id) * 2 > n then '1' else '0' end as group_id from w""")
+def median_split(spark, sf_dir):
+    """Each group cut in two at the median of its longer axis."""
+    pts = points(spark, sf_dir, "customer", "c_custkey").withColumn("group_id", (F.col("id") % 7).cast("string")).withColumn("__big", F.lit(True))
+    return planning.median_split(pts).select("id", "group_id")
+
+
+@query(f"""with {CUST}, {SUPP}, {SEG.format('su')}, t as (select cu.id as point_id, s.id as object_id, sqrt({_ps('cu.x', 'cu.y', 's')}) as d from cu join seg s on {_ps('cu.x', 'cu.y', 's')} <= 1000000)
+select point_id, object_id, floor(d * 100 + 0.5) / 100.0::DOUBLE as distance from t qualify row_number() over (partition by point_id order by d, object_id) <= 3""")
+def tie_in_pipes(spark, sf_dir):
+    """The three nearest pipes of each consumer, by distance to the pipe's line."""
+    dots = points(spark, sf_dir, "customer", "c_custkey").select("id", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    near = spatial.segments_near(dots, chain(points(spark, sf_dir, "supplier", "s_suppkey")), 1000.0, 1000.0)
+    near = near.select(F.col("left_id").alias("point_id"), F.col("right_id").alias("object_id"), F.sqrt("d2").alias("d"))
+    near = costing.top_candidates(near, "point_id", "object_id", [F.col("d"), F.col("object_id")], 3)
+    return near.select("point_id", "object_id", half_up(F.col("d"), 2).alias("distance"))
+
+
+def planned_network(spark, sf_dir):
+    """New trees for groups of customers near the suppliers' pipes: tie candidates, grouping, one greedy tree per group, sizes and prices.
+
+    The search has no SQL form; tests check it with the constraints."""
+    cu = points(spark, sf_dir, "customer", "c_custkey").withColumn("flow", F.lit(2.5))
+    su = points(spark, sf_dir, "supplier", "s_suppkey")
+    pipes_ = chain(su).withColumn("dn", RULES.snap_up(F.lit(300)))
+    cand = durable(planning.tie_candidates(cu, pipes_, su.withColumn("dn", F.lit(300)), RULES, first_radius=512.0))
+    grouped = durable(planning.groups(cu))
+    walls = part_boxes(spark, sf_dir).where("id % 5 = 0").select(F.explode(F.array(*[F.struct(F.col(a).alias("x1"), F.col(b).alias("y1"), F.col(c).alias("x2"), F.col(d).alias("y2")) for a, b, c, d in (("x1", "y1", "x2", "y1"), ("x2", "y1", "x2", "y2"), ("x2", "y2", "x1", "y2"), ("x1", "y2", "x1", "y1"))])).alias("e")).select("e.*")
+    edges = durable(planning.plan_groups(cu, cand, walls, grouped))
+    return planning.sized_segments(edges, cu.select(F.col("id").cast("string").alias("to_id"), "flow"), RULES).select("group_id", "from_id", "to_id", "flow", "dn", half_up(F.col("length"), 2).alias("length"), "cost")
+
+
+QUERIES["planned_network"] = planned_network
