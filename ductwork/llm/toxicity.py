@@ -199,16 +199,30 @@ def calibrate(model: ToxicityModel, texts: list[str], y: np.ndarray) -> tuple[fl
     return (float(at[0]), float(at[1])) if at[0] > 0 else (1.0, 0.0)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int, longest: int) -> tuple[list[str], np.ndarray]:
-    """At most sample rows of each class, those with the smallest hashes of doc_id; only rows that are not held out are read.
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int, longest: int) -> DataFrame:
+    """text, toxic: at most sample rows of each class, those with the smallest hashes of doc_id; only rows that are not held out.
 
     The labels are sampled first; only their few texts are then looked up."""
     open_ = labels.where("toxic in (0, 1) and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     drawn = [open_.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
     chosen = F.broadcast(drawn[0].union(drawn[1]))  # at most 2 * sample rows
     texts = docs.select("doc_id", "text").where(F.length("text") <= longest).join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    rows = sorted(texts.select("doc_id", "text", "toxic").collect(), key=lambda r: (r[0] * 2654435761 % (1 << 32), r[0]) if isinstance(r[0], int) else (0, r[0]))
-    return [r[1] for r in rows], np.array([r[2] for r in rows], dtype=int)
+    return texts.select(F.xxhash64("doc_id", F.lit("mixed")).alias("h"), "doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+
+
+def trained(docs: DataFrame, labels: DataFrame, sample: int = 2_000, longest: int = 40_000) -> ToxicityModel:
+    """The model, fitted in one task on the bounded sample; its numbers, one per bucket, come back to the driver."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        model = fit([r[2] for r in rows], np.array([r[3] for r in rows], dtype=int))
+        yield pa.RecordBatch.from_arrays([pa.array([model.bucket_value.astype(np.float32).tobytes()], pa.binary()), *(pa.array([float(x)]) for x in (model.bias, model.slope, model.shift))], names=["value", "bias", "slope", "shift"])
+
+    rows = training_rows(docs, labels, sample, longest)
+    r = rows.coalesce(1).mapInArrow(learn, "value binary, bias double, slope double, shift double").first()
+    if r is None:
+        return fit([], np.zeros(0, int))
+    return ToxicityModel(np.frombuffer(bytes(r[0]), np.float32), r[1], r[2], r[3])
 
 
 def with_score(docs: DataFrame, model: ToxicityModel, column: str = "__score") -> DataFrame:
@@ -226,10 +240,6 @@ def with_score(docs: DataFrame, model: ToxicityModel, column: str = "__score") -
     return docs.mapInArrow(run, schema)
 
 
-def trained(docs: DataFrame, labels: DataFrame, sample: int = 2_000, longest: int = 40_000) -> ToxicityModel:
-    return fit(*training_rows(docs, labels, sample, longest))
-
-
 def score(docs: DataFrame, labels: DataFrame, sample: int = 2_000, longest: int = 40_000, threshold: float = 0.7) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted. labels: doc_id, toxic; only its rows that are not held out are learnt."""
     rows = with_score(docs.select("doc_id", "text"), trained(docs, labels.select("doc_id", "toxic"), sample, longest))
