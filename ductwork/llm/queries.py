@@ -63,6 +63,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_ngram_jaccard": setjoin.ORACLE,
     "op4_top_k": vectors.ORACLE,
     "op5_decontamination": decontamination.ORACLE,
     "op6_mixing": mixing.ORACLE,
