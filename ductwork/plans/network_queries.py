@@ -518,4 +518,4 @@ def planned_network(spark, sf_dir):
     return planning.sized_segments(edges, cu.select(F.col("id").cast("string").alias("to_id"), "flow"), RULES).select("group_id", "from_id", "to_id", "flow", "dn", half_up(F.col("length"), 2).alias("length"), "cost")
 
 
-QUERIES["planned_network"] = planned_network
+
