@@ -198,6 +198,17 @@ def test_jaccard_components(spark, monkeypatch, hot):
     assert {d: r.n_links for d, r in linked.items()} == brute_links(texts)
 
 
+def test_jaccard_single_rows_of_hot_keys(spark, monkeypatch):
+    """Sixty exact copies and one near copy: two rows a key, that fall under one salt or under two."""
+    monkeypatch.setattr(setjoin, "HOT", 50)
+    texts = []
+    for seed in range(8):
+        words = prose(seed, 60, 2000).split()
+        texts += [" ".join(words)] * 60 + [" ".join([*words[:-1], f"other{seed}"])]
+    docs = make(spark, texts)
+    assert sorted((r.doc_id, r.component_id) for r in setjoin.join(docs).collect()) == [(i, i - i % 61) for i in range(len(texts))]
+
+
 def test_jaccard_repeated_and_missing_ids(spark):
     rows = [(5, "a b c d e", "en", "s", 9), (5, "a b c d e", "en", "s", 9), (3, "A b c d e", "en", None, 9), (None, "q r s t u", "en", "s", 9), (7, "v w x y z", None, "s", 9)]
     docs = spark.createDataFrame(rows, DOCS)
