@@ -60,6 +60,10 @@ UNKNOWN = 0.6
 #: The words of the tag before a licence expression.
 TAG = "spdx license identifier"
 TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+-]*")
+BLANKS = re.compile(r"[ \t]*")
+#: A word; and what may stand between the tag and its expression.
+WORD = re.compile(r"[A-Za-z0-9\x80-\U0010ffff]+")
+AFTER_TAG = re.compile(r"[^A-Za-z0-9\x80-\U0010ffff\n(]*")
 BINDS = {"or": 1, "and": 2, "with": 3}
 
 
@@ -69,14 +73,14 @@ def restricts(name: str) -> float:
     return RESTRICTS[max(known, key=len)] if known else UNKNOWN
 
 
-def evaluate(expression: str) -> tuple[float, list[str]]:
-    """Value and identifiers of a licence expression, by the shunting-yard method; the expression ends where its grammar does.
+def evaluate(expression: str, at: int = 0) -> tuple[float, list[str]]:
+    """Value and identifiers of the licence expression from a place on, by the shunting-yard method; it ends where its grammar does, or its line.
 
     Operators are and, or, with in any case; with binds most tightly, or least."""
     values: list[float] = []
     waiting: list[str] = []
     names: list[str] = []
-    at, operand, depth, good = 0, True, 0, True
+    operand, depth, good = True, 0, True
 
     def apply() -> None:
         op, right, left = waiting.pop(), values.pop(), values.pop()
@@ -85,7 +89,7 @@ def evaluate(expression: str) -> tuple[float, list[str]]:
         else:
             values.append(max(left, right) if op == "and" else min(left, right))
 
-    while m := TOKEN.match(expression, at + len(re.match(r"[ \t]*", expression[at:])[0])):
+    while m := TOKEN.match(expression, BLANKS.match(expression, at).end()):
         word = m[0].lower()
         if operand:
             if word == "(":
@@ -141,7 +145,7 @@ def scan_text(text: str, words: str, found: ahocorasick.Automaton) -> tuple[int,
 
     Returns the number of base places, their first and last word, the base labels, all labels and the score."""
     n_base, first, last, base, labels, score = 0, None, None, set(), set(), 0.0
-    tags = None
+    ends = None  # of the text's words
     seen, at = 0, 0  # words before position at
     hits = sorted((end - size + 1, what) for end, (size, what) in found.iter(words))
     for start, what in hits:
@@ -152,12 +156,11 @@ def scan_text(text: str, words: str, found: ahocorasick.Automaton) -> tuple[int,
                 n_base, first, last = n_base + 1, seen if first is None else first, seen
                 base.add(label)
             if kind == "tag":
-                tags = tags if tags is not None else re.finditer(r"(?i)spdx[^A-Za-z0-9\x80-\U0010ffff]+license[^A-Za-z0-9\x80-\U0010ffff]+identifier[^A-Za-z0-9\x80-\U0010ffff\n(]*", text)
-                m = next(tags, None)
-                if m:
-                    value, names = evaluate(text[m.end() : m.end() + 400].split("\n")[0])
-                    labels.update(names)
-                    score = max(score, value)
+                ends = ends if ends is not None else [m.end() for m in WORD.finditer(text)]
+                begin = AFTER_TAG.match(text, ends[seen + TAG.count(" ")]).end()
+                value, names = evaluate(text, begin)
+                labels.update(names)
+                score = max(score, value)
             else:
                 labels.add(label)
                 score = max(score, restricts(label))
@@ -186,7 +189,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 source = data.tobytes()
                 out = []
                 for r in range(batch.num_rows):
-                    words = f" {body[places[r] : places[r + 1]].decode().strip()} "
+                    words = f" {body[places[r] : places[r + 1]].decode().strip(' ')} "
                     out.append(scan_text(source[at[r] : at[r + 1]].decode(), words, found) if found_any(found, words) else NOTHING)
                 n, first, last, base, labels, score = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays(

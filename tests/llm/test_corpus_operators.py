@@ -485,6 +485,20 @@ def test_license_expressions():
     assert licenses.evaluate("(MIT")[1] == ["mit"] and licenses.evaluate("")[0] == 0.0 and licenses.evaluate("Apache-2.0. Then") == (0.1, ["apache-2.0"])
 
 
+def test_license_tags_and_edges(spark):
+    many = [f"Lib{i}-License-{i}.0" for i in range(60)]
+    texts = [
+        f"SPDX-License-Identifier: ({' OR '.join(many)}) OR MIT\nx", "SPDX-License-Identifiers are GPL-3.0 here. xSPDX-License-Identifier: GPL-3.0\nSPDX-License-Identifier: MIT\n",
+        "\u00a0 cc by x", "\u3000 all rights reserved \u0085", "\u00a0cc by", "cc by\u3000", "SPDX-License-Identifier\nMIT", "é SPDX License (Identifier): ISC AND\nGPL-3.0",
+    ]
+    got = {r.doc_id: r for r in licenses.scan(make(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        assert (got[i].n_words, got[i].n_base, got[i].first_word, got[i].last_word, got[i].base_labels) == brute_licenses(t)
+    assert len(texts[0]) > 1000 and set(got[0].labels.split(",")) == {"mit", *(x.lower() for x in many)} and got[0].score == 0.1
+    assert (got[1].labels, got[1].score) == ("mit", 0.1)
+    assert got[6].labels == "" and got[7].labels == "isc"
+
+
 # --- operator 9
 
 
