@@ -2,17 +2,20 @@
 
 Generators propose candidates: provider-like prefixes, values assigned to secret-like names, and long runs of mixed characters.
 A random forest judges each by its length, character transitions, dictionary coverage (the share of its letter trigrams that
-are common in the corpus), its path (the document's source) and neighbouring words. It is fitted on labelled findings, at most
+are common in the corpus), its path (how many candidates the document's source has, and the share of secrets among those that the
+formats label) and neighbouring words. It is fitted on labelled findings, at most
 sample rows by hash order; without such labels, findings are labelled by format: fixed provider formats and assigned
 hexadecimal values are secrets; what is placed inside addresses, numbers, or repeats few characters is not.
 
 Defined cases: null and empty texts have no candidates; findings of one class only make every probability that class; rows that
-repeat give their findings again; texts are scanned whole; a null source counts as empty.
+repeat give their findings again; texts are scanned whole; a null source counts as empty. Sources are counted in PATHS buckets by
+hash; values fall in two folds, and a candidate takes its source's share of secrets from the other one.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +34,9 @@ PROVIDER = re.compile(r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{
 HEX = re.compile(r"[0-9a-f]{16,64}")
 CUES = re.compile(r"(?i)password|passwd|pwd|secret|token|key|auth|credential")
 SAMPLES = re.compile(r"(?i)example|sample|dummy|changeme|xxxx|placeholder")
-FEATURES = ("length", "transitions", "entropy", "digits", "upper", "symbols", "coverage", "assigned", "prefixed", "cue_before", "sample_near", "quoted", "path_known", "neighbour_words")
+FEATURES = ("length", "transitions", "entropy", "digits", "upper", "symbols", "coverage", "assigned", "prefixed", "cue_before", "sample_near", "quoted", "path_candidates", "path_secrets", "neighbour_words")
+#: Buckets of sources.
+PATHS = 1 << 14
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
@@ -62,8 +67,8 @@ def trigrams(lowered: np.ndarray) -> np.ndarray:
     return (c[:-2] * 676 + c[1:-1] * 26 + c[2:])[ok[:-2] & ok[1:-1] & ok[2:]]
 
 
-def describe(text: str, start: int, end: int, kind: str, common: np.ndarray, source: str, known: frozenset[str]) -> list[float]:
-    """The features of one candidate, as FEATURES names them."""
+def describe(text: str, start: int, end: int, kind: str, common: np.ndarray) -> list[float]:
+    """The features of one candidate, as FEATURES names them; those of the path are 0 until with_paths."""
     value, before, after = text[start:end], text[max(0, start - 40) : start], text[end : end + 20]
     k = kinds_of(value)
     _, counts = np.unique(list(value), return_counts=True)
@@ -73,7 +78,7 @@ def describe(text: str, start: int, end: int, kind: str, common: np.ndarray, sou
     return [
         len(value), float((k[1:] != k[:-1]).mean()) if len(k) > 1 else 0.0, float(-(p * np.log2(p)).sum()), float((k == 2).mean()), float((k == 1).mean()), float((k == 3).mean()),
         float(common[grams].sum() / max(1, len(value) - 2)), float(kind == "assigned"), float(kind == "prefixed"), float(bool(CUES.search(before))), float(bool(SAMPLES.search(value + before))),
-        float(before[-1:] in ("'", '"')), float(source in known), float(len(words)),
+        float(before[-1:] in ("'", '"')), 0.0, 0.0, float(len(words)),
     ]
 
 
@@ -98,26 +103,51 @@ def common_trigrams(docs: DataFrame, share: float = 0.9) -> np.ndarray:
     return common
 
 
-def findings(docs: DataFrame, common: np.ndarray, known: frozenset[str] = frozenset()) -> DataFrame:
-    """One row per candidate: doc_id, start, end (code points), kind, value, weak (label by format, null if unsure), features."""
+def path_of(source: str | None, value: str) -> int:
+    """The bucket of a source, twice, plus the value's fold (0 or 1)."""
+    return zlib.crc32((source or "").encode()) % PATHS * 2 + (zlib.crc32(value.encode()) & 1)
+
+
+def findings(docs: DataFrame, common: np.ndarray) -> DataFrame:
+    """One row per candidate: doc_id, start, end (code points), kind, value, weak (label by format, null if unsure), path, features."""
     small_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast((common, known))
+    held = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, known = held.value
+        common = held.value
         for batch in batches:
             out = []
             for r, text in enumerate(batch.column(1).to_pylist()):
-                source = batch.column(2)[r].as_py() or "" if text else ""
+                source = batch.column(2)[r].as_py() if text else ""
                 for start, end, kind in candidates(text or ""):
                     value = text[start:end]
-                    out.append((batch.column(0)[r].as_py(), start, end, kind, value, weak_label(value, kind, text[max(0, start - 12) : start]), describe(text, start, end, kind, common, source, known)))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 7
-            types = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "start", "end", "kind", "value", "weak", "features"])
+                    out.append((batch.column(0)[r].as_py(), start, end, kind, value, weak_label(value, kind, text[max(0, start - 12) : start]), path_of(source, value), describe(text, start, end, kind, common)))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 8
+            types = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "start", "end", "kind", "value", "weak", "path", "features"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", "source").mapInArrow(run, f"doc_id {kind}, start long, end long, kind string, value string, weak int, features array<double>")
+    return docs.select("doc_id", "text", "source").mapInArrow(run, f"doc_id {kind}, start long, end long, kind string, value string, weak int, path int, features array<double>")
+
+
+def path_counts(rows: DataFrame) -> np.ndarray:
+    """Per bucket of sources and fold the candidates, those that the formats label, and the secrets among these; two rows a bucket at most reach the driver."""
+    out = np.zeros((2 * PATHS, 3))
+    for r in rows.groupBy("path").agg(F.count(F.lit(1)), F.count("weak"), F.sum("weak")).collect():
+        out[r[0]] = r[1], r[2], r[3] or 0
+    return out
+
+
+def path_features(x: np.ndarray, path: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The features with those of the path filled in. The share of secrets is that of the source's other fold, so that no label tells of itself.
+
+    It is drawn towards the share in all sources, as if each source had two more labels at that share."""
+    every, other = counts.sum(axis=0), counts[path ^ 1]
+    of_all = every[2] / max(1.0, every[1])
+    x = x.copy()
+    x[:, FEATURES.index("path_candidates")] = np.log2(1 + counts[path, 0] + other[:, 0])
+    x[:, FEATURES.index("path_secrets")] = (other[:, 2] + 2 * of_all) / (other[:, 1] + 2)
+    return x
 
 
 def weak_label(value: str, kind: str, before: str) -> int | None:
@@ -193,16 +223,19 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, sample: int = 4_000
     labelled: findings() rows with an int label (1 secret, 0 not), from earlier reviews; else the weak labels teach the forest."""
     rows = durable(findings(docs, common_trigrams(docs)))
     teach = labelled if labelled is not None else rows.where("weak is not null").withColumn("label", F.col("weak"))
-    some = teach.orderBy(F.xxhash64("value", "kind"), "doc_id", "start").limit(sample).select("features", "label").collect()
+    some = teach.orderBy(F.xxhash64("value", "kind"), "doc_id", "start").limit(sample).select("features", "label", "path").collect()
+    counts = path_counts(rows)
     y = np.array([r[1] for r in some], float)
-    forest = Forest().fit(np.array([r[0] for r in some], float), y) if len(some) else Forest()
-    held = docs.sparkSession.sparkContext.broadcast(forest)
+    forest = Forest().fit(path_features(np.array([r[0] for r in some], float), np.array([r[2] for r in some]), counts), y) if len(some) else Forest()
+    held = docs.sparkSession.sparkContext.broadcast((forest, counts))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, counts = held.value
         for batch in batches:
             x = np.array(batch.column(5).to_pylist(), float).reshape(batch.num_rows, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(held.value.probability(x), pa.float64())], names=["doc_id", "start", "end", "kind", "value", "probability"])
+            x = path_features(x, batch.column(6).to_numpy(), counts)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(forest.probability(x), pa.float64())], names=["doc_id", "start", "end", "kind", "value", "probability"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = rows.select("doc_id", "start", "end", "kind", "value", "features").mapInArrow(judge, f"doc_id {kind}, start long, end long, kind string, value string, probability double")
+    out = rows.select("doc_id", "start", "end", "kind", "value", "features", "path").mapInArrow(judge, f"doc_id {kind}, start long, end long, kind string, value string, probability double")
     return out.withColumn("secret", F.col("probability") >= threshold)

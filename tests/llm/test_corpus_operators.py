@@ -554,3 +554,19 @@ def test_secrets(spark):
         else:
             assert not any(r.secret for r in got.get(d, []))
     assert secrets.scan(docs.where("false")).collect() == []
+
+
+def test_secret_paths(spark):
+    """Candidates that differ only in their source differ in the features of the path."""
+    value = "Zq3kT9vX2mB7" * 2
+    texts = [f"word {value} word"] * 2 + [f"AKIA{'ABCDEFGHIJKLMNOP'[i:]}{'234567ABCDEFGHIJ'[:i]}" for i in range(16)] + [f"{1234567890123456789 + i}" for i in range(16)]
+    docs = make(spark, texts).withColumn("source", F.when(F.col("doc_id").isin(0, *range(2, 18)), "leaky").otherwise("clean"))
+    rows = secrets.findings(docs, secrets.common_trigrams(docs))
+    counts = secrets.path_counts(rows)
+    assert counts[:, 0].sum() == 34 and counts[:, 1:].sum(axis=0).tolist() == [32, 16]
+    one, two = rows.where(F.col("doc_id") < 2).orderBy("doc_id").collect()
+    assert one.features == two.features and one.path != two.path
+    x = secrets.path_features(np.array([one.features, two.features]), np.array([one.path, two.path]), counts)
+    at = secrets.FEATURES.index("path_secrets")
+    assert x[0, at] > 0.5 > x[1, at] and (np.delete(x[0], at) == np.delete(x[1], at)).all()
+    assert secrets.scan(docs).count() == 34
