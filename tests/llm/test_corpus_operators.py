@@ -218,6 +218,21 @@ def test_jaccard_repeated_and_missing_ids(spark):
     assert setjoin.join(docs.where("false")).collect() == []
 
 
+def test_jaccard_unrelated_rows_of_one_id_and_null_bridges(spark):
+    words = prose(7, 60, 2000).split()
+    chain = [" ".join(["n1", "n2", "n3", *words[3:]]), " ".join(words), " ".join([*words[:-3], "n1", "n2", "n3"])]
+    assert brute_components(chain, [0, 1, 2])[2][2] == 0 and brute_components(chain[::2], [0, 1])[1][2] == 1
+    near = prose(8, 60, 2000)
+    rows = [(3, near), (5, near + " x"), (5, prose(9, 60, 2000)), (8, prose(10, 60, 2000)), (8, prose(10, 60, 2000) + " y"), (1, chain[0]), (None, chain[1]), (2, chain[2])]
+    rows += [(None, prose(11, 60, 2000)), (None, prose(11, 60, 2000) + " z"), (5, None), (5, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], DOCS)
+    comps = {r.doc_id: r.component_id for r in setjoin.join(docs).collect() if r.doc_id in (1, 2)}
+    assert comps == {1: 1, 2: 1}
+    kept = [(r.doc_id, r.text) for r in setjoin.keep_one(docs).collect()]
+    assert len(kept) == 7 and {rows[0], rows[2], rows[5], rows[10], rows[11]} < set(kept)
+    assert sorted(str(d) for d, _ in kept) == ["1", "3", "5", "5", "5", "8", "None"]
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, x) for x in range(101, 130)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(30)]
