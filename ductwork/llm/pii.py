@@ -1,9 +1,10 @@
 """Operator 3: personal data by boosted trees over generated candidates, in DataFrame functions only.
 
 High-recall generators (regular expressions) propose overlapping spans. Those of the four base kinds that pass their checks are
-always redacted; they also label the candidates. Boosted trees over format and context features, fitted on a bounded sample of
-candidates, give the others a probability, and thresholds calibrated per kind on held-out candidates select more spans. The
-trees are applied as one SQL expression. Positions come from the lengths of the pieces that a split leaves, summed per document.
+always redacted, and so are spelled-out addresses that pass the e-mail pattern once their signs are put back; these also label the
+candidates. Boosted trees over format and context features, fitted on a bounded sample of candidates in which every kind has its
+part, give the others a probability, and thresholds calibrated per kind on all candidates held out (a third, by hash) select more
+spans; a kind with fewer than LEAST of these has no threshold. The trees are applied as one SQL expression. Positions come from the lengths of the pieces that a split leaves, summed per document.
 
 Defined cases: null counts as empty; a text without digits, "@" or "(at)" is passed over at once; documents that repeat are
 handled row by row; if all candidates have one label the trees add nothing; positions count code points.
@@ -15,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ductwork.llm.boosting import Boosted, boost, threshold_for
+from ductwork.llm.boosting import Boosted, boost
 from ductwork.llm.common import MOST_BROADCAST, durable
 
 KINDS = ("email", "ip", "card", "phone")
@@ -29,11 +30,14 @@ BASE = {
 #: Wider generators: numbers with separators, and addresses whose signs are spelled out.
 WIDE = {
     "number": r"(?<![A-Za-z0-9+])[0-9(][0-9\x20().-]{6,40}[0-9](?![A-Za-z0-9])",
-    "spelled": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|[(\[]dot[)\]])\x20?[A-Za-z0-9-]{1,63}){1,6}",
+    "spelled": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]{1,63}(?:(?:(?:\.|\x20?[(\[]dot[)\]]\x20?)[A-Za-z0-9-]{1,63}){1,6}|(?:\x20?(?:\.|[(\[]dot[)\]])\x20?[A-Za-z0-9-]{1,63}){1,6})",
 }
 MARKS = r"[0-9@]|[(\[]at[)\]]"
 #: Words before a candidate that speak for personal data.
 CUES = r"(?i)(mail|call|tel|phone|fon|fax|mobil|card|visa|pay|host|addr|contact|kontakt|\bip)\W*\w*\W*$"
+#: Score bins of the calibration, and the held-out candidates that a kind's threshold takes.
+BINS = 1000
+LEAST = 20
 FEATURES = {
     "f_digits": "length(regexp_replace(m, '[^0-9]', ''))",
     "f_chars": "length(m)",
@@ -46,6 +50,7 @@ FEATURES = {
     "f_assigned": "case when before rlike '[:=]\\\\s*\"?$' then 1 else 0 end",
     "f_cue": "case when before rlike '" + CUES.replace("\\", "\\\\") + "' then 1 else 0 end",
     "f_first": "coalesce(try_cast(regexp_extract(m, '[0-9]', 0) as int), -1)",
+    "f_address": "case when address then 1 else 0 end",
     "f_kind": "case kind when 'email' then 0 when 'ip' then 1 when 'card' then 2 when 'phone' then 3 when 'number' then 4 else 5 end",
 }
 
@@ -69,6 +74,12 @@ def valid(kind: Column, m: Column) -> Column:
     return F.when(kind == "email", True).when(kind == "ip", small).when(kind == "card", card).when(kind == "phone", n.between(9, 15)).otherwise(False)
 
 
+def spelled_out(kind: Column, m: Column) -> Column:
+    """Whether a match is a spelled address that passes the base pattern with its signs put back."""
+    plain = F.regexp_replace(F.regexp_replace(m, r"\x20?[(\[]at[)\]]\x20?", "@"), r"\x20?[(\[]dot[)\]]\x20?", ".")
+    return (kind == "spelled") & plain.rlike(f"^(?:{BASE['email']})$")
+
+
 def pieces(text: Column, kind: str, pattern: str) -> Column:
     """Per match: kind, number, the length of the text since the last match, the match, and what stands around it."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -79,7 +90,7 @@ def pieces(text: Column, kind: str, pattern: str) -> Column:
 
 
 def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per candidate: kept columns, __rid, kind, m, start, end (code points), ok (base and checked), before, after.
+    """One row per candidate: kept columns, __rid, kind, m, start, end (code points), ok (base and checked), address (spelled and checked), before, after.
 
     A document without candidates has one row with a null kind. Only candidates are shuffled, by document."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -89,46 +100,70 @@ def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
     before = Window.partitionBy("__rid", "kind").orderBy("i")
     end = F.sum(F.col("gap") + F.length("m")).over(before)
     rows = rows.withColumn("end", end).withColumn("start", F.col("end") - F.length("m"))
-    return rows.withColumn("ok", F.coalesce(valid(F.col("kind"), F.col("m")), F.lit(False))).drop("i", "gap")
+    checks = {"ok": valid(F.col("kind"), F.col("m")), "address": spelled_out(F.col("kind"), F.col("m"))}
+    return rows.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in checks.items()}).drop("i", "gap")
 
 
 def labelled(rows: DataFrame) -> DataFrame:
-    """Adds the features and touches: whether the candidate overlaps a checked base span."""
+    """Adds the features and touches: whether the candidate is or overlaps a checked span."""
+    sure = F.col("ok") | F.col("address")
     order = Window.partitionBy("__rid").orderBy("start", "end", "kind")
-    sure_end = F.max(F.when(F.col("ok"), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    sure_start = F.min(F.when(F.col("ok"), F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
-    touches = F.col("ok") | F.coalesce(sure_end > F.col("start"), F.lit(False)) | F.coalesce(sure_start < F.col("end"), F.lit(False))
+    sure_end = F.max(F.when(sure, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    sure_start = F.min(F.when(sure, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    touches = sure | F.coalesce(sure_end > F.col("start"), F.lit(False)) | F.coalesce(sure_start < F.col("end"), F.lit(False))
     return rows.withColumn("touches", touches).withColumns({k: F.expr(v) for k, v in FEATURES.items()})
 
 
-def fit(rows: DataFrame, sample: int, precision: float) -> tuple[Boosted, dict[str, float]]:
-    """Trees and thresholds from at most sample candidates, those with the smallest hashes; every third calibrates."""
+def threshold(bins: list[tuple[int, int, int]], precision: float) -> int:
+    """The lowest of the bins (bin, candidates, ones) from which on the share of ones is at least precision; above BINS if there is none."""
+    n = ones = 0
+    best = BINS + 1
+    for at, more, hits in sorted(bins, reverse=True):
+        n, ones = n + more, ones + hits
+        if ones >= precision * n:
+            best = at
+    return best if n >= LEAST else BINS + 1
+
+
+def fit(rows: DataFrame, sample: int, precision: float) -> tuple[Boosted, dict[str, int]]:
+    """Trees from at most sample candidates, and per kind the least score bin that counts, from all candidates of the held-out third.
+
+    The sample takes the candidates with the smallest hashes, evenly by kind as far as each kind has them."""
     names = list(FEATURES)
-    some = rows.where("kind is not null").select("kind", "touches", *names, F.xxhash64("m", "before", "after", "kind").alias("h")).orderBy("h", "kind", *names).limit(sample).collect()
+    rows = rows.where("kind is not null").withColumn("h", F.xxhash64("m", "before", "after", "kind"))
+    held = F.pmod("h", F.lit(3)) == 2
+    size = {r[0]: r[1] for r in rows.where(~held).groupBy("kind").agg(F.count(F.lit(1))).collect()}
+    place = F.lit(0.0)  # about the candidate's place among its kind, by hash
+    for kind, n in size.items():
+        place = F.when(F.col("kind") == kind, (F.col("h") / 2.0**64 + 0.5) * n).otherwise(place)
+    some = rows.where(~held).select("touches", "kind", "h", *names, place.alias("place")).orderBy("place", "h", "kind", *names).limit(sample).collect()
     x = np.array([[float(r[n]) for n in names] for r in some]).reshape(len(some), len(names))
-    y, kinds = np.array([float(r["touches"]) for r in some]), np.array([r["kind"] for r in some])
-    held = np.arange(len(some)) % 3 == 2
-    model = boost(names, x[~held], y[~held])
-    score = 1 / (1 + np.exp(-model.margin(x[held]))) if held.any() else np.zeros(0)
-    cut = {k: threshold_for(score[kinds[held] == k], y[held][kinds[held] == k], precision) if (kinds[held] == k).sum() >= 20 else 1.1 for k in (*KINDS, *WIDE)}
-    return model, cut
+    model = boost(names, x, np.array([float(r["touches"]) for r in some]))
+    bins: dict[str, list[tuple[int, int, int]]] = {k: [] for k in (*KINDS, *WIDE)}
+    for r in rows.where(held).groupBy("kind", score_bin(model).alias("bin")).agg(F.count(F.lit(1)), F.sum(F.col("touches").cast("int"))).collect():
+        bins[r[0]].append((r[1], r[2], r[3]))
+    return model, {k: threshold(v, precision) for k, v in bins.items()}
+
+
+def score_bin(model: Boosted) -> Column:
+    return F.floor(F.expr(model.sql()) * BINS)
 
 
 def find(docs: DataFrame, keep: list[str], sample: int = 6_000, precision: float = 0.98) -> DataFrame:
     """Per document the kept columns, spans (base and added, array of kind, start, end, base) in the order of kinds, then start."""
     rows = durable(labelled(candidates(docs, keep)))
     model, cut = fit(rows, sample, precision)
-    enough = F.lit(1.1)
+    enough = F.lit(BINS + 1)
     for kind, at in cut.items():
         enough = F.when(F.col("kind") == kind, at).otherwise(enough)
-    more = ~F.col("touches") & (F.expr(model.sql()) >= enough)
+    more = ~F.col("touches") & (score_bin(model) >= enough)
     rows = rows.withColumn("more", F.coalesce(more, F.lit(False)))
     chosen = Window.partitionBy("__rid").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
     free = F.coalesce(F.max(F.when(F.col("more"), F.col("end"))).over(chosen) <= F.col("start"), F.lit(True))
     named = F.when(F.col("kind") == "number", F.when(F.col("f_digits") >= 13, "card").otherwise("phone")).when(F.col("kind") == "spelled", "email").otherwise(F.col("kind"))
     place = F.array_position(F.array(*map(F.lit, KINDS)), named)
     rows = rows.withColumn("free", free)
-    span = F.when(F.col("ok") | (F.col("more") & F.col("free")), F.struct(place.alias("k"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), named.alias("kind"), F.col("ok").alias("base")))
+    span = F.when(F.col("ok") | F.col("address") | (F.col("more") & F.col("free")), F.struct(place.alias("k"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), named.alias("kind"), F.col("ok").alias("base")))
     return rows.groupBy("__rid", *keep).agg(F.array_sort(F.collect_list(span)).alias("spans"))
 
 

@@ -315,6 +315,26 @@ def test_pii_redaction(spark):
     assert got[len(ODD) + 11].text.startswith("𝄞 [PHONE] 𝄞 [EMAIL]")
 
 
+def test_pii_spelled_addresses(spark):
+    texts = ["write me (at) example (dot) org. Then you[at]site.net, é", "1234567890 (at) a-b [dot] co (dot) uk", "meet me (at) noon. Bring it"] + [f"number {10**9 + 7919 * i} x" for i in range(300)]
+    docs = make(spark, texts)
+    got = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert [got[i] for i in range(3)] == ["write [EMAIL]. Then [EMAIL], é", "[EMAIL]", texts[2]]
+    assert all(r.n_email == 0 for r in pii.detect(docs).collect())
+
+
+def test_pii_samples_every_kind(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii, "boost", lambda names, x, y: seen.append(x[:, names.index("f_kind")]) or boosting.boost(names, x, y))
+    pii.detect(make(spark, [f"number {10**9 + 7919 * i} x" for i in range(2000)] + [f"tel +1 (988) 555-{1000 + i}" for i in range(40)]), sample=60).collect()
+    assert len(seen[0]) == 60 and (seen[0] == 3).sum() >= 10
+
+
+def test_pii_thresholds():
+    assert pii.threshold([(900, 90, 90), (500, 10, 8), (100, 50, 0)], 0.98) == 500
+    assert pii.threshold([(900, 19, 19)], 0.98) == pii.threshold([(900, 90, 45)], 0.98) == pii.threshold([], 0.98) == pii.BINS + 1
+
+
 def test_boosting_matches_its_sql(spark):
     rng = np.random.default_rng(0)
     x = rng.integers(0, 6, (300, 3)).astype(float)
