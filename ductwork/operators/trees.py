@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ductwork.storage import durable
+from ductwork.storage import stored
 
 
 def subtree_sums(edges: DataFrame, rounds: int = 200) -> DataFrame:
@@ -13,13 +17,13 @@ def subtree_sums(edges: DataFrame, rounds: int = 200) -> DataFrame:
 
     Pointer doubling: each round adds to a node what the nodes that point to it have gathered, then doubles the pointers, so a
     tree of depth d takes log2(d) rounds, each a join on the pointer."""
-    state = durable(edges.select("node", F.col("parent").alias("up"), F.col("value").alias("total")))
+    state = stored(edges.select("node", F.col("parent").alias("up"), F.col("value").alias("total")))
     for _ in range(rounds):
         if state.where("up is not null").limit(1).count() == 0:
             return state.select("node", "total")
         gained = state.where("up is not null").groupBy(F.col("up").alias("node")).agg(F.sum("total").alias("more"))
         hop = state.select(F.col("node").alias("up"), F.col("up").alias("next"))
-        state = durable(state.join(gained, "node", "left").join(hop, "up", "left").select("node", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0))).alias("total")))
+        state = stored(state.join(gained, "node", "left").join(hop, "up", "left").select("node", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0))).alias("total")))
     raise ValueError("the parents form a cycle")
 
 
@@ -42,12 +46,12 @@ def runs_to_root(edges: DataFrame, rounds: int = 500) -> DataFrame:
     Pointer doubling within a kind: a pointer stops where the kind changes."""
     kinds = edges.select(F.col("node").alias("parent"), F.col("kind").alias("above"))
     start = edges.join(kinds, "parent", "left").select("node", F.when(F.col("kind") == F.col("above"), F.col("parent")).alias("up"), F.col("length").alias("run"))
-    state = durable(start)
+    state = stored(start)
     for _ in range(rounds):
         if state.where("up is not null").limit(1).count() == 0:
             return state.select("node", "run")
         hop = state.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("run").alias("more"))
-        state = durable(state.join(hop, "up", "left").select("node", F.col("next").alias("up"), (F.col("run") + F.coalesce("more", F.lit(0))).alias("run")))
+        state = stored(state.join(hop, "up", "left").select("node", F.col("next").alias("up"), (F.col("run") + F.coalesce("more", F.lit(0))).alias("run")))
     raise ValueError("the parents form a cycle")
 
 
@@ -59,20 +63,52 @@ def rollup_tree(levels: list[DataFrame]) -> DataFrame:
     return out
 
 
+def local_stars(edges: DataFrame) -> DataFrame:
+    """The edges (hi, lo) of each partition as one star for each of its own components: far fewer, with the same reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = list(batches)
+        if own:
+            names, at = np.unique(np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1) for b in own]), return_inverse=True)
+            a, b = at[: len(at) // 2], at[len(at) // 2 :]
+            least = np.arange(len(names))
+            while True:
+                before = least.copy()
+                low = np.minimum(least[a], least[b])
+                for side in (a, b):
+                    np.minimum.at(least, side, low)
+                    np.minimum.at(least, before[side], low)  # a label's own node follows
+                while (least != least[least]).any():
+                    least = least[least]
+                if (least == before).all():
+                    break
+            moved = np.flatnonzero(least != np.arange(len(names)))
+            yield pa.RecordBatch.from_arrays([pa.array(names[x], f.type) for x, f in zip((moved, least[moved]), own[0].schema, strict=True)], schema=own[0].schema)
+
+    return edges.mapInArrow(run, edges.schema)
+
+
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """node, comp (the smallest node reachable) for every node of the edges (a, b).
 
-    Each round takes the least label among the neighbours, then the label of that label, so chains halve; a hub's neighbours are
-    pre-aggregated before the shuffle. Every round is kept in the checkpoint folder."""
-    both = durable(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct().toDF("node", "other"))
-    labels = durable(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("comp")))
+    Each partition first reduces its edges to stars. Then, by alternating stars, every node hands its larger neighbours, then its smaller ones, on to the smallest node it knows, until
+    each component is one star around its smallest node. Paths shrink by halves, edges never grow in number, and a hub's
+    smallest neighbour is found by pre-aggregation. Every round is kept in the shared folder."""
+    star = stored(local_stars(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo")).distinct())
+    seen = fingerprint(star)
     for _ in range(rounds):
-        near = both.join(labels.select(F.col("node").alias("other"), F.col("comp").alias("seen")), "other").groupBy("node").agg(F.min("seen").alias("seen"))
-        step = labels.join(near, "node").select("node", "comp", F.least("comp", "seen").alias("new"))
-        jump = labels.select(F.col("node").alias("new"), F.col("comp").alias("far"))
-        after = durable(step.join(jump, "new", "left").select("node", "comp", F.least("new", F.coalesce("far", "new")).alias("new")))
-        changed = after.where("new <> comp").limit(1).count()
-        labels = after.select("node", F.col("new").alias("comp"))
-        if not changed:
-            return labels
+        both = star.union(star.select("lo", "hi")).toDF("node", "other")
+        least = both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("least"))
+        large = both.where("other > node").join(least, "node").select(F.col("other").alias("hi"), F.col("least").alias("lo")).distinct()
+        least = large.groupBy("hi").agg(F.min("lo").alias("least"))
+        joined = large.join(least, "hi")
+        star = stored(joined.select("hi", F.col("least").alias("lo")).union(joined.select("lo", "least").where("lo <> least")).distinct())
+        before, seen = seen, fingerprint(star)
+        if seen == before:
+            return star.select(F.col("hi").alias("node"), F.col("lo").alias("comp")).union(star.select("lo", "lo").distinct())
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def fingerprint(edges: DataFrame) -> tuple:
+    """Number of distinct rows and sum of their hashes: equal sets have equal ones."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*edges.columns).cast("decimal(38,0)"))).first())

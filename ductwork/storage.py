@@ -1,17 +1,20 @@
-"""Cutting lineage through the shared checkpoint folder."""
+"""Cutting lineage through the folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir; only where none is set (local runs) a temporary one."""
+    """The folder that all executors share: the session's spark.checkpoint.dir. Where none is set, a local session takes a temporary one; on a cluster that is an error."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir")
     if named is None and context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return named or context._jsc.sc().getCheckpointDir().get()
 
@@ -20,3 +23,12 @@ def durable(df: DataFrame) -> DataFrame:
     """The rows, computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder as Parquet and read back. Unlike a checkpoint's, the new plan's size is the files';
+    in a loop of joins an estimate would multiply at every round."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -215,3 +215,26 @@ def test_writer(spark, tmp_path):
     features.write(features.to_features(seg), str(tmp_path / "out"))
     row = json.loads(spark.read.text(str(tmp_path / "out")).first().value)
     assert row["properties"]["diameter"] == 65 and row["properties"]["cost"] == 7863100.0 and row["geometry"]["coordinates"][0][0] == pytest.approx(37.617, abs=1e-2)
+
+
+def test_components_against_naive(spark):
+    r = random.Random(8)
+    path = list(range(3000))
+    r.shuffle(path)
+    links = list(zip(path, path[1:])) + [(3000 + r.randrange(300), 3000 + r.randrange(300)) for _ in range(140)] + [(4000, 4000 + k) for k in range(1, 400)]
+    root = {}
+
+    def find(a):
+        while root.setdefault(a, a) != a:
+            a = root[a]
+        return a
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(links, "a long, b long").repartition(7)
+    got = {x.node: x.comp for x in trees.components(df).collect()}
+    assert got == {a: find(a) for link in links for a in link if link[0] != link[1]}
+    assert trees.components(df.where("a < 0")).collect() == []
+    words = spark.createDataFrame([("b", "a"), ("c", "b"), ("z", "y"), (None, "a")], "a string, b string")
+    assert {(x.node, x.comp) for x in trees.components(words).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("y", "y"), ("z", "y")}
