@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ductwork.storage import durable, shared_folder, stored  # noqa: F401  (shared with the core)
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word up to white space.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
@@ -24,21 +24,6 @@ def lower_ascii(col: Column) -> Column:
     return F.translate(col, UPPER, UPPER.lower())
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir; only where none is set (local tests) a temporary one is taken."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir")
-    if named is None and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return named or context._jsc.sc().getCheckpointDir().get()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Keep Arrow batches of whole texts small: Spark counts rows, and texts may be long."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
@@ -59,6 +44,11 @@ def ranked(df: DataFrame, order: list[Column], partitions: int | None = None) ->
     return rows.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn("__rank", F.col("__before") + place).drop("__part", "__at", "__before")
 
 
+def fingerprint(text: Column) -> Column:
+    """Two independent 64-bit hashes of a text and its length: what stands for the text where a verdict is carried back to it."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("second"), text).alias("b"), F.length(text).alias("n"))
+
+
 #: Keys that are broadcast, 8 to 50 bytes each.
 MOST_BROADCAST = 500_000
 

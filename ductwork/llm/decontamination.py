@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ductwork.llm.common import NOT_WORD, UPPER, durable, without
+from ductwork.llm.common import NOT_WORD, UPPER, durable, fingerprint, without
 
 #: Words looked up as a set inside the scan; beyond, a join finds their places.
 MOST_LISTED = 20_000
@@ -90,10 +90,10 @@ def judged(docs: DataFrame, benchmark: DataFrame, keep: list[str], n: int, share
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20) -> DataFrame:
-    """The documents that are not contaminated, all columns. The verdict hangs on the text alone, so its hash carries it back."""
-    marked = docs.select(F.xxhash64("text").alias("__hash"), "text")
+    """The documents that are not contaminated, all columns. The verdict hangs on the text alone, so its fingerprint carries it back."""
+    marked = docs.select(fingerprint(F.col("text")).alias("__hash"), "text")
     bad = durable(judged(marked, benchmark, ["__hash"], n, share).where("contaminated").select("__hash").distinct())
-    return without(docs.withColumn("__hash", F.xxhash64("text")), bad, "__hash").drop("__hash")
+    return without(docs.withColumn("__hash", fingerprint(F.col("text"))), bad, "__hash").drop("__hash")
 
 
 ORACLE = r"""

@@ -1,13 +1,18 @@
 """Operator 3: personal data by boosted trees over generated candidates, in DataFrame functions only.
 
 High-recall generators (regular expressions) propose overlapping spans. Those of the four base kinds that pass their checks are
-always redacted, and so are spelled-out addresses that pass the e-mail pattern once their signs are put back; these also label the
-candidates. Boosted trees over format and context features, fitted on a bounded sample of candidates in which every kind has its
-part, give the others a probability, and thresholds calibrated per kind on all candidates held out (a third, by hash) select more
-spans; a kind with fewer than LEAST of these has no threshold. The trees are applied as one SQL expression. Positions come from the lengths of the pieces that a split leaves, summed per document.
+always reported, and so are spelled-out addresses that pass the e-mail pattern once their signs are put back. Boosted trees over
+format and context features judge the numbers that remain: telephone numbers without their plus, cards with other separators.
+
+The trees learn from disguises: checked telephone and card numbers of the corpus, in their places, with the plus or the country
+dropped and the separators changed, against numbers that are known to be something else (unbroken runs, dates and years, numbers called order or
+version, those that fail the checks). They are fitted on a bounded sample; the threshold is calibrated for precision on all such
+rows held out (a third, by hash); without LEAST of these nothing is added. Numbers with neither label are what the trees
+decide on. The trees are applied as one SQL expression. Positions come from the lengths of the pieces that a split leaves, summed
+per document.
 
 Defined cases: null counts as empty; a text without digits, "@" or "(at)" is passed over at once; documents that repeat are
-handled row by row; if all candidates have one label the trees add nothing; positions count code points.
+handled row by row; a null doc_id keeps its row; without checked numbers the trees add nothing; positions count code points.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ductwork.llm.boosting import Boosted, boost
-from ductwork.llm.common import MOST_BROADCAST, durable
+from ductwork.llm.common import MOST_BROADCAST, durable, fingerprint
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns. Possessive, and started only where a longer match could not have begun, so that long runs cost linear time.
@@ -35,23 +40,29 @@ WIDE = {
 MARKS = r"[0-9@]|[(\[]at[)\]]"
 #: Words before a candidate that speak for personal data.
 CUES = r"(?i)(mail|call|tel|phone|fon|fax|mobil|card|visa|pay|host|addr|contact|kontakt|\bip)\W*\w*\W*$"
-#: Score bins of the calibration, and the held-out candidates that a kind's threshold takes.
+#: Words before a number that speak for something else; forms of years, dates and versions.
+OTHER = r"(?i)\b(order|invoice|version|isbn|issn|number|no|nr|ref|id|serial|build|ticket|item|rev|article|artikel)\W*$"
+YEARS = r"^\(?(1[89]|20)[0-9]{2}\)?([\x20.-]+(1[89]|20)[0-9]{2})+$|^[0-9]{1,4}[.-][0-9]{1,2}[.-][0-9]{1,4}(\x20|$)|^[0-9]{1,3}(\.[0-9]{1,3})+$"
+#: Score bins of the calibration, and the held-out rows that a threshold takes.
 BINS = 1000
 LEAST = 20
+#: Longest piece of a text that is cut at once.
+PIECE = 4096
 FEATURES = {
     "f_digits": "length(regexp_replace(m, '[^0-9]', ''))",
     "f_chars": "length(m)",
-    "f_breaks": "length(regexp_replace(m, '[A-Za-z0-9]', ''))",
+    "f_breaks": "length(regexp_replace(m, '[0-9]', ''))",
     "f_dots": "length(regexp_replace(m, '[^.]', ''))",
-    "f_parens": "length(regexp_replace(m, '[^()\\\\[\\\\]]', ''))",
-    "f_letters": "length(regexp_replace(m, '[^A-Za-z]', ''))",
-    "f_plus": "case when startswith(m, '+') or endswith(before, '+') then 1 else 0 end",
+    "f_hyphens": "length(regexp_replace(m, '[^-]', ''))",
+    "f_parens": "length(regexp_replace(m, '[^()]', ''))",
+    "f_groups": "size(regexp_extract_all(m, '[0-9]+', 0))",
+    "f_longest": "array_max(transform(regexp_extract_all(m, '[0-9]+', 0), x -> length(x)))",
+    "f_last": "length(regexp_extract(m, '[0-9]+$', 0))",
     "f_joined": "case when before rlike '[A-Za-z0-9_=/-]$' or after rlike '^[A-Za-z0-9_=/-]' then 1 else 0 end",
     "f_assigned": "case when before rlike '[:=]\\\\s*\"?$' then 1 else 0 end",
     "f_cue": "case when before rlike '" + CUES.replace("\\", "\\\\") + "' then 1 else 0 end",
+    "f_other": "case when before rlike '" + OTHER.replace("\\", "\\\\") + "' then 1 else 0 end",
     "f_first": "coalesce(try_cast(regexp_extract(m, '[0-9]', 0) as int), -1)",
-    "f_address": "case when address then 1 else 0 end",
-    "f_kind": "case kind when 'email' then 0 when 'ip' then 1 when 'card' then 2 when 'phone' then 3 when 'number' then 4 else 5 end",
 }
 
 
@@ -104,14 +115,41 @@ def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
     return rows.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in checks.items()}).drop("i", "gap")
 
 
+def with_features(rows: DataFrame) -> DataFrame:
+    digits = F.regexp_replace("m", "[^0-9]", "")
+    passes = F.when(F.length(digits).between(13, 19), luhn(digits).cast("int")).otherwise(F.lit(0))
+    return rows.withColumns({k: F.expr(v) for k, v in FEATURES.items()} | {"f_luhn": passes})
+
+
 def labelled(rows: DataFrame) -> DataFrame:
-    """Adds the features and touches: whether the candidate is or overlaps a checked span."""
+    """Adds touches (the candidate is or overlaps a span that is reported anyway), the features, and label: 0 for a number that is something else, else null."""
     sure = F.col("ok") | F.col("address")
     order = Window.partitionBy("__rid").orderBy("start", "end", "kind")
     sure_end = F.max(F.when(sure, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
     sure_start = F.min(F.when(sure, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
     touches = sure | F.coalesce(sure_end > F.col("start"), F.lit(False)) | F.coalesce(sure_start < F.col("end"), F.lit(False))
-    return rows.withColumn("touches", touches).withColumns({k: F.expr(v) for k, v in FEATURES.items()})
+    rows = with_features(rows.withColumn("touches", touches))
+    other = ~F.col("f_digits").between(9, 19) | (F.col("f_groups") < 2) | (F.col("f_other") == 1) | F.col("m").rlike(YEARS)
+    return rows.withColumn("label", F.when((F.col("kind") == "number") & ~F.col("touches") & other, 0))
+
+
+def disguised(rows: DataFrame) -> DataFrame:
+    """The checked telephone and card numbers, each in one disguise by its hash, as numbers with label 1, where they stand."""
+    groups = F.regexp_extract_all("m", F.lit("[0-9]+"), F.lit(0))
+    digits = F.regexp_replace("m", "[^0-9]", "")
+    fours = F.regexp_extract_all(digits, F.lit("[0-9]{1,4}"), F.lit(0))
+    spread = F.xxhash64("m", "before")
+    by, short = F.pmod(spread, F.lit(3)), (F.pmod(spread, F.lit(2)) == 0) & (F.size(groups) > 3)
+    mark = F.when(by == 0, ".").when(by == 1, "-").otherwise(" ")
+    phone = F.when(by == 2, F.regexp_replace("m", r"^\+[0-9]{0,3}\x20(?=\()|^\+", "")).otherwise(F.call_function("array_join", F.when(short, F.slice(groups, 2, 9)).otherwise(groups), mark))
+    card = F.when(by == 1, F.array_join(fours, " - ")).otherwise(F.array_join(fours, "."))
+    hidden = rows.where("ok and kind in ('phone', 'card')").withColumn("h", by_hash()).withColumn("m", F.when(F.col("kind") == "phone", phone).otherwise(card))
+    hidden = hidden.where(F.col("m").rlike(f"^(?:{WIDE['number']})$")).withColumns({"kind": F.lit("number"), "label": F.lit(1), "ok": F.lit(False)})
+    return with_features(hidden.select("kind", "m", "before", "after", "label", "h"))
+
+
+def by_hash() -> Column:
+    return F.xxhash64("m", "before", "after")
 
 
 def threshold(bins: list[tuple[int, int, int]], precision: float) -> int:
@@ -125,24 +163,23 @@ def threshold(bins: list[tuple[int, int, int]], precision: float) -> int:
     return best if n >= LEAST else BINS + 1
 
 
-def fit(rows: DataFrame, sample: int, precision: float) -> tuple[Boosted, dict[str, int]]:
-    """Trees from at most sample candidates, and per kind the least score bin that counts, from all candidates of the held-out third.
+def taught(rows: DataFrame) -> DataFrame:
+    """What the trees learn from: h (which tells held-out rows), label and features."""
+    names = [*FEATURES, "f_luhn"]
+    known = rows.where("label is not null").withColumn("h", by_hash()).select("h", "label", *names)
+    return known.unionByName(disguised(rows).select("h", "label", *names))
+
 
-    The sample takes the candidates with the smallest hashes, evenly by kind as far as each kind has them."""
-    names = list(FEATURES)
-    rows = rows.where("kind is not null").withColumn("h", F.xxhash64("m", "before", "after", "kind"))
+def fit(rows: DataFrame, sample: int, precision: float) -> tuple[Boosted, int]:
+    """Trees from at most sample rows, half of each label, by hash; and the least score bin that counts, from all rows of the held-out third."""
+    names = [*FEATURES, "f_luhn"]
+    rows = taught(rows)
     held = F.pmod("h", F.lit(3)) == 2
-    size = {r[0]: r[1] for r in rows.where(~held).groupBy("kind").agg(F.count(F.lit(1))).collect()}
-    place = F.lit(0.0)  # about the candidate's place among its kind, by hash
-    for kind, n in size.items():
-        place = F.when(F.col("kind") == kind, (F.col("h") / 2.0**64 + 0.5) * n).otherwise(place)
-    some = rows.where(~held).select("touches", "kind", "h", *names, place.alias("place")).orderBy("place", "h", "kind", *names).limit(sample).collect()
+    some = [r for label in (0, 1) for r in rows.where(~held).where(F.col("label") == label).orderBy("h", *names).limit(sample // 2).collect()]
     x = np.array([[float(r[n]) for n in names] for r in some]).reshape(len(some), len(names))
-    model = boost(names, x, np.array([float(r["touches"]) for r in some]))
-    bins: dict[str, list[tuple[int, int, int]]] = {k: [] for k in (*KINDS, *WIDE)}
-    for r in rows.where(held).groupBy("kind", score_bin(model).alias("bin")).agg(F.count(F.lit(1)), F.sum(F.col("touches").cast("int"))).collect():
-        bins[r[0]].append((r[1], r[2], r[3]))
-    return model, {k: threshold(v, precision) for k, v in bins.items()}
+    model = boost(names, x, np.array([float(r["label"]) for r in some]))
+    bins = rows.where(held).groupBy(score_bin(model).alias("bin")).agg(F.count(F.lit(1)), F.sum("label")).collect()
+    return model, threshold([tuple(r) for r in bins], precision) if any(r[2] for r in bins) else BINS + 1
 
 
 def score_bin(model: Boosted) -> Column:
@@ -153,10 +190,7 @@ def find(docs: DataFrame, keep: list[str], sample: int = 6_000, precision: float
     """Per document the kept columns, spans (base and added, array of kind, start, end, base) in the order of kinds, then start."""
     rows = durable(labelled(candidates(docs, keep)))
     model, cut = fit(rows, sample, precision)
-    enough = F.lit(BINS + 1)
-    for kind, at in cut.items():
-        enough = F.when(F.col("kind") == kind, at).otherwise(enough)
-    more = ~F.col("touches") & (score_bin(model) >= enough)
+    more = (F.col("kind") == "number") & F.col("label").isNull() & ~F.col("touches") & (score_bin(model) >= cut)
     rows = rows.withColumn("more", F.coalesce(more, F.lit(False)))
     chosen = Window.partitionBy("__rid").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
     free = F.coalesce(F.max(F.when(F.col("more"), F.col("end"))).over(chosen) <= F.col("start"), F.lit(True))
@@ -182,17 +216,22 @@ def detect(docs: DataFrame, sample: int = 6_000, precision: float = 0.98) -> Dat
 def redact(docs: DataFrame, sample: int = 6_000, precision: float = 0.98) -> DataFrame:
     """The documents, all columns, each span in the text replaced by its kind in brackets; n_chars, if there, follows the text.
 
-    Spans hang on the text alone, so the text's hash carries them back; texts are shuffled only if spans are too many to broadcast."""
+    Spans hang on the text alone, so the text's fingerprint carries them back; texts are shuffled only if spans are too many to broadcast."""
     columns = docs.columns
-    found = find(docs.select(F.xxhash64("text").alias("__hash"), "text"), ["__hash"], sample, precision).where(F.size("spans") > 0)
+    found = find(docs.select(fingerprint(F.col("text")).alias("__hash"), "text"), ["__hash"], sample, precision).where(F.size("spans") > 0)
     found = found.groupBy("__hash").agg(F.any_value("spans").alias("__spans"))
-    found = durable(found.select("__hash", F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("s"), s["end"].alias("e"), s["kind"].alias("k")))).alias("__spans")))
+    in_order = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("s"), s["end"].alias("e"), s["kind"].alias("k"))))
+    apart = F.expr("aggregate(__spans, cast(array() as array<struct<s: bigint, e: bigint, k: string>>), (a, x) -> case when size(a) = 0 or x.s >= element_at(a, -1).e then concat(a, array(x)) when x.e <= element_at(a, -1).e then a else concat(a, array(named_struct('s', element_at(a, -1).e, 'e', x.e, 'k', x.k))) end)")
+    found = durable(found.withColumn("__spans", in_order).withColumn("__spans", apart))
     total = found.agg(F.sum(F.size("__spans") + 4)).first()[0] or 0
-    back = docs.withColumn("__hash", F.xxhash64("text")).join(F.broadcast(found) if total <= MOST_BROADCAST else found, "__hash", "left")
+    back = docs.withColumn("__hash", fingerprint(F.col("text"))).join(F.broadcast(found) if total <= MOST_BROADCAST else found, "__hash", "left")
+    # a long text is cut piece by piece, so that each span costs the length of its piece only
     cut = F.expr(
-        """aggregate(__spans, struct(cast(array() as array<string>) as p, 0L as e),
-        (a, x) -> struct(case when x.e <= a.e then a.p else concat(a.p, array(substr(text, cast(a.e + 1 as int), cast(greatest(x.s - a.e, 0L) as int)), concat('[', upper(x.k), ']'))) end as p, greatest(a.e, x.e) as e),
-        a -> concat(array_join(a.p, ''), substr(text, cast(a.e + 1 as int))))"""
+        f"""array_join(transform(regexp_extract_all(text, '(?s).{{1,{PIECE}}}', 0), (c, i) -> aggregate(
+        filter(__spans, x -> x.s < (i + 1) * {PIECE} and x.e > i * {PIECE}), struct('' as p, 0 as e),
+        (a, x) -> struct(concat(a.p, substr(c, a.e + 1, cast(greatest(x.s - i * {PIECE} - a.e, 0) as int)), case when x.s >= i * {PIECE} then concat('[', upper(x.k), ']') else '' end) as p,
+          cast(least(x.e - i * {PIECE}, {PIECE}) as int) as e),
+        a -> concat(a.p, substr(c, a.e + 1)))), '')"""
     )
     back = back.withColumn("text", F.when(F.col("__spans").isNotNull(), cut).otherwise(F.col("text")))
     if "n_chars" in columns:

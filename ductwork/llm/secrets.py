@@ -9,7 +9,8 @@ hexadecimal values are secrets; what is placed inside addresses, numbers, or rep
 
 Defined cases: null and empty texts have no candidates; findings of one class only make every probability that class; rows that
 repeat give their findings again; texts are scanned whole; a null source counts as empty. Sources are counted in PATHS buckets by
-hash; values fall in two folds, and a candidate takes its source's share of secrets from the other one.
+hash; values fall in two folds, and a candidate takes its source's share of secrets from the other one. An empty table gives no
+rows; columns besides doc_id, text and source are passed over; a text of any length is read whole, with its slice of the batch.
 """
 
 from __future__ import annotations
@@ -115,7 +116,7 @@ def findings(docs: DataFrame, common: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = held.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             out = []
             for r, text in enumerate(batch.column(1).to_pylist()):
                 source = batch.column(2)[r].as_py() if text else ""
@@ -218,8 +219,9 @@ class Forest:
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, sample: int = 4_000, threshold: float = 0.5) -> DataFrame:
-    """One row per candidate: doc_id, start, end, kind, value, probability, secret (probability at or above threshold).
+    """One row per candidate: doc_id, start, end (code points), kind, value_sha256, probability, secret (probability at or above threshold).
 
+    The value itself is not returned: who may read the text finds it there.
     labelled: findings() rows with an int label (1 secret, 0 not), from earlier reviews; else the weak labels teach the forest."""
     rows = durable(findings(docs, common_trigrams(docs)))
     teach = labelled if labelled is not None else rows.where("weak is not null").withColumn("label", F.col("weak"))
@@ -234,8 +236,8 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, sample: int = 4_000
         for batch in batches:
             x = np.array(batch.column(5).to_pylist(), float).reshape(batch.num_rows, len(FEATURES))
             x = path_features(x, batch.column(6).to_numpy(), counts)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(forest.probability(x), pa.float64())], names=["doc_id", "start", "end", "kind", "value", "probability"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(forest.probability(x), pa.float64())], names=["doc_id", "start", "end", "kind", "value_sha256", "probability"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = rows.select("doc_id", "start", "end", "kind", "value", "features", "path").mapInArrow(judge, f"doc_id {kind}, start long, end long, kind string, value string, probability double")
+    out = rows.select("doc_id", "start", "end", "kind", F.sha2("value", 256), "features", "path").mapInArrow(judge, f"doc_id {kind}, start long, end long, kind string, value_sha256 string, probability double")
     return out.withColumn("secret", F.col("probability") >= threshold)

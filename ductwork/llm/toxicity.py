@@ -1,7 +1,7 @@
 """Operator 9: toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the average of the vectors of its byte n-grams (3 to 5, with boundary marks) and of itself; a passage of PASSAGE words
-is the average of its words; a linear softmax on top scores the passage. A document pools its passages by a log-mean-exp, which
+is the average of its words, short enough that one bad word is not lost in it; a linear softmax on top scores the passage. A document pools its passages by a log-mean-exp, which
 leans towards the worst ones, so long texts do not dilute a few toxic words. Embeddings and softmax are trained together, by
 Adam, through the pooling, which sharpens from an average as the training goes on. Unseen misspellings share the n-grams of what they misspell.
 
@@ -28,7 +28,7 @@ from ductwork.llm.tokens import ALNUM, LOWER, bounds, hashes, mix, raw, slices
 
 BUCKETS = 1 << 16
 DIMENSIONS = 8
-PASSAGE = 16
+PASSAGE = 2
 #: A word is a small part of a passage's average; the softmax sees the average times this.
 GAIN = 4.0 * PASSAGE
 #: A text pools its passages' scores s as log(mean(exp(SHARP * s))) / SHARP: near their average where SHARP is small, near the worst where it is large.
@@ -129,7 +129,7 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * logit + self.shift, -500, 500)))
 
 
-def fit(texts: list[str], labels: np.ndarray, steps: int = 80, rate: float = 0.3, decay: float = 3e-4, quiet: float = 1e-3, spread: float = 0.01, seed: int = 7) -> ToxicityModel:
+def fit(texts: list[str], labels: np.ndarray, steps: int = 80, rate: float = 0.1, decay: float = 3e-4, quiet: float = 1e-3, spread: float = 0.01, seed: int = 7) -> ToxicityModel:
     """Joint training by Adam over the whole sample; every fourth text is kept for the calibration."""
     flat = np.zeros(BUCKETS, np.float32)
     if len(labels) == 0 or labels.min() == labels.max():

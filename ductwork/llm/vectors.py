@@ -6,8 +6,9 @@ is an annulus around a pivot. For a block of queries, every task expands its ann
 the triangle inequality leaves no better score than the k-th best so far; a first k-th best comes from a fixed sample. The
 tasks' best rows, at most k a query, are merged. Pruning is exact, ties included.
 
-Components are turned into floor(scale * x), so scores are exact integers. Queries are collected in blocks of bounded size; each
-block is one pass over the index.
+Components are turned into floor(scale * x), so scores are exact integers, in doubles below 2^53, in 64-bit integers from there
+to 2^63 (beyond, they are not defined). Queries are collected in blocks of BLOCK_BYTES; each block is one pass of all tasks over
+the index. The number of pivots grows with the square root of the table.
 
 Defined cases: vectors that are null or hold a null or non-finite component, and rows with a null id, take no part; shorter
 vectors count as padded with zeros; queries that repeat an id are asked once; rows that share an id with a query are its own;
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 
 from ductwork.llm.common import durable, ranked
 
-#: Rows of an annulus; queries of a block; rows of the sample that gives pivots and first bounds.
-ANNULUS, BLOCK, SAMPLE = 1024, 8192, 2048
+#: Rows of an annulus; rows of the sample that gives pivots and first bounds; pivots at least and at most.
+ANNULUS, SAMPLE, PIVOTS = 1024, 2048, (32, 1024)
+#: Memory of a block of queries with their distances from the pivots; and how many of its queries meet an annulus at once.
+BLOCK_BYTES, TOGETHER = 64 << 20, 4096
 #: Batches that a task holds at once.
 HELD = 64
 
@@ -100,7 +103,7 @@ class Best:
 
     def __init__(self, floor: np.ndarray, k: int) -> None:
         self.k, self.floor = k, floor.copy()
-        self.query, self.score, self.id = (np.zeros(0, t) for t in (np.int64, float, np.int64))
+        self.query, self.score, self.id = (np.zeros(0, np.int64) for _ in range(3))
 
     def add(self, query: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
         query, score, ids = np.concatenate([self.query, query]), np.concatenate([self.score, score]), np.concatenate([self.id, ids])
@@ -125,15 +128,17 @@ def expand(parts: list[pa.RecordBatch], best: Best, ids: np.ndarray, q: np.ndarr
             slack = 1e-6 * (norms + most) + 1
             rings.append(((norms + most - gap * gap) / 2 + slack, batch.slice(a, b - a)))
     rings.sort(key=lambda r: -float((r[0] - best.floor).max()))
+    number = np.int64 if most >= 2**53 else float
     for bound, batch in rings:
         some = np.flatnonzero(bound >= best.floor)
         if not len(some):
             continue
-        x, own = matrix(batch.column(3), width), batch.column(2).to_numpy()
-        score = q[some] @ x.T
-        hit, row = np.nonzero((score >= best.floor[some][:, None]) & (own[None, :] != ids[some][:, None]))
-        if len(hit):
-            best.add(some[hit], score[hit, row], own[row])
+        x, own = matrix(batch.column(3), width).astype(number), batch.column(2).to_numpy()
+        for few in np.split(some, range(TOGETHER, len(some), TOGETHER)):
+            score = q[few].astype(number) @ x.T
+            hit, row = np.nonzero((score >= best.floor[few][:, None]) & (own[None, :] != ids[few][:, None]))
+            if len(hit):
+                best.add(few[hit], score[hit, row].astype(np.int64), own[row])
 
 
 def search_block(index: DataFrame, ids: np.ndarray, q: np.ndarray, floor: np.ndarray, pivots: Pivots, k: int) -> DataFrame:
@@ -150,25 +155,41 @@ def search_block(index: DataFrame, ids: np.ndarray, q: np.ndarray, floor: np.nda
                 expand(parts, best, ids, q, from_pivots, norms, most, q.shape[1])
                 parts = []
         expand(parts, best, ids, q, from_pivots, norms, most, q.shape[1])
-        yield pa.RecordBatch.from_arrays([pa.array(ids[best.query]), pa.array(best.id), pa.array(best.score.astype(np.int64))], names=["query_id", "vec_id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[best.query]), pa.array(best.id), pa.array(best.score)], names=["query_id", "vec_id", "score"])
 
     return index.select("pivot", "dist", "id", "q").mapInArrow(run, "query_id long, vec_id long, score long")
 
 
-def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024, pivots: int = 32) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score. vectors: id, v; queries are the rows whose id is divisible by every."""
+def first_floor(q: np.ndarray, ids: np.ndarray, sample: np.ndarray, sample_ids: np.ndarray, k: int, most: float) -> np.ndarray:
+    """A score that each query's k-th best reaches at least: its k-th best among the sample."""
+    lowest = np.iinfo(np.int64).min
+    out = np.full(len(ids), lowest)
+    if len(sample_ids) >= k:
+        number = np.int64 if most >= 2**53 else float
+        for i in range(0, len(ids), TOGETHER):
+            score = (q[i : i + TOGETHER].astype(number) @ sample.T.astype(number)).astype(np.int64)
+            out[i : i + TOGETHER] = np.partition(np.where(sample_ids[None, :] != ids[i : i + TOGETHER, None], score, lowest), -k, axis=1)[:, -k]
+    return out
+
+
+def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024, pivots: int | None = None) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score. vectors: id, v; queries are the rows whose id is divisible by every.
+
+    pivots: their number; else it follows the table's size."""
     spark = vectors.sparkSession
     rows = durable(integers(vectors, scale))
-    shape = rows.agg(F.max(F.size("q")), F.max(F.aggregate("q", F.lit(0).cast("double"), lambda a, x: a + x.cast("double") * x.cast("double")))).first()
+    shape = rows.agg(F.max(F.size("q")), F.max(F.aggregate("q", F.lit(0).cast("double"), lambda a, x: a + x.cast("double") * x.cast("double"))), F.count(F.lit(1))).first()
     if shape[0] is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     width, most = max(1, shape[0]), float(shape[1])
     some = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
     sample_ids, sample = np.array([r[0] for r in some]), np.array([list(r[1]) + [0] * (width - len(r[1])) for r in some], float)
+    pivots = pivots or int(np.clip(np.sqrt(shape[2] / ANNULUS), *PIVOTS))
     chosen = choose_pivots(sample, most, pivots)
+    block_rows = max(1, BLOCK_BYTES // (8 * (width + len(chosen.at))))
     index = keyed(rows, chosen, width)
     asked = ranked(rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("q").alias("q")), [F.col("id")])
-    asked = durable(asked.withColumn("__block", F.floor(F.col("__rank") / BLOCK)))
+    asked = durable(asked.withColumn("__block", F.floor(F.col("__rank") / block_rows)))
     blocks = (asked.agg(F.max("__block")).first()[0] or 0) + 1
     found = []
     for b in range(blocks):
@@ -176,8 +197,7 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024,
         if not part:
             continue
         ids, q = np.array([r["id"] for r in part]), np.array([list(r["q"]) + [0] * (width - len(r["q"])) for r in part], float)
-        first = np.where(sample_ids[None, :] != ids[:, None], q @ sample.T, -np.inf)
-        floor = np.sort(first, axis=1)[:, -k] if first.shape[1] >= k else np.full(len(ids), -np.inf)
+        floor = first_floor(q, ids, sample, sample_ids, k, most)
         block = search_block(index, ids, q, floor, chosen, k)
         found.append(durable(block) if blocks > 1 else block)
     if not found:
