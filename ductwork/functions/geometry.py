@@ -60,6 +60,53 @@ def in_ring(px: Column, py: Column, ring: Column) -> Column:
     return F.when(n >= 4, inside | edge).otherwise(F.lit(False))
 
 
+def in_rings(px: Column, py: Column, rings: Column) -> Column:
+    """Whether a point lies inside an area of closed rings (shells and holes, by parity); on any boundary counts as inside."""
+
+    def crossings(ring: Column) -> Column:
+        def step(odd: Column, i: Column) -> Column:
+            a, b = F.get(ring, i), F.get(ring, i + 1)
+            at = a["x"] + F.try_divide(py - a["y"], b["y"] - a["y"]) * (b["x"] - a["x"])
+            return odd + F.when(((a["y"] > py) != (b["y"] > py)) & (px < at), 1).otherwise(0)
+
+        return F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(ring) - 2, F.lit(0))), F.lit(0), step)
+
+    parity = F.aggregate(rings, F.lit(0), lambda n, ring: n + F.when(F.size(ring) >= 4, crossings(ring)).otherwise(0)) % 2 == 1
+    return parity | (ring_distance_square(px, py, rings) <= 1e-18)
+
+
+def ring_distance_square(px: Column, py: Column, rings: Column) -> Column:
+    """Square distance of a point from the nearest edge of some rings, or lines."""
+    edge = lambda r, i: point_segment_square(px, py, F.get(r, i)["x"], F.get(r, i)["y"], F.get(r, i + 1)["x"], F.get(r, i + 1)["y"])
+    return F.array_min(F.flatten(F.transform(F.filter(rings, lambda r: F.size(r) >= 2), lambda r: F.transform(F.sequence(F.lit(0), F.size(r) - 2), lambda i: edge(r, i)))))
+
+
+def locate(points: Column, station: Column) -> Column:
+    """The point of a polyline at a distance along it, as struct(x, y); beyond its ends, the ends."""
+    start = F.struct(F.lit(0.0).alias("s"), F.get(points, F.lit(0))["x"].alias("x"), F.get(points, F.lit(0))["y"].alias("y"))
+
+    def step(acc: Column, q: Column) -> Column:
+        d = F.sqrt(square_distance(q["px"], q["py"], q["x"], q["y"]))
+        t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.try_divide(station - acc["s"], d), F.lit(0.0))))
+        inside = station > acc["s"]
+        return F.struct((acc["s"] + d).alias("s"), F.when(inside, q["px"] + t * (q["x"] - q["px"])).otherwise(acc["x"]).alias("x"), F.when(inside, q["py"] + t * (q["y"] - q["py"])).otherwise(acc["y"]).alias("y"))
+
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(points) - 1, F.lit(1))), lambda i: F.struct(F.get(points, i - 1)["x"].alias("px"), F.get(points, i - 1)["y"].alias("py"), F.coalesce(F.get(points, i), F.get(points, i - 1))["x"].alias("x"), F.coalesce(F.get(points, i), F.get(points, i - 1))["y"].alias("y")))
+    return F.aggregate(pairs, start, step, lambda a: F.struct(a["x"].alias("x"), a["y"].alias("y")))
+
+
+def centroid(ring: Column) -> Column:
+    """Centre of gravity of a closed ring as struct(x, y); of one without area, the mean of its points."""
+    n = F.size(ring)
+    p, q = lambda i: F.get(ring, i), lambda i: F.get(ring, i + 1)
+    origin = F.get(ring, F.lit(0))
+    part = lambda f: F.aggregate(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), F.lit(0.0), lambda a, i: a + F.coalesce(f(p(i)["x"] - origin["x"], p(i)["y"] - origin["y"], q(i)["x"] - origin["x"], q(i)["y"] - origin["y"]), F.lit(0.0)))
+    area = part(lambda ax, ay, bx, by: ax * by - bx * ay)
+    mean = lambda c: F.aggregate(ring, F.lit(0.0), lambda a, v: a + v[c]) / n
+    axis = lambda c, f: F.when(F.abs(area) > 1e-12, origin[c] + part(f) / (3 * area)).otherwise(mean(c)).alias(c)
+    return F.struct(axis("x", lambda ax, ay, bx, by: (ax + bx) * (ax * by - bx * ay)), axis("y", lambda ax, ay, bx, by: (ay + by) * (ax * by - bx * ay)))
+
+
 def line_length(points: Column) -> Column:
     """Length of a polyline, an array of struct(x, y)."""
     return F.aggregate(

@@ -21,10 +21,10 @@ def money(x: Column) -> Column:
 
 
 def variant_totals(segments: DataFrame, rules: Rules, chambers: DataFrame | None = None, tie_ins: DataFrame | None = None, unconnected: DataFrame | None = None) -> DataFrame:
-    """One row per variant: construction_cost, chamber_cost, tie_in_cost, penalty, calculated_cost, new_length, score.
+    """One row per variant: n_segments, construction_cost, chamber_cost, tie_in_cost, penalty, calculated_cost, new_length, score.
 
     segments: variant, cost, length; chambers: variant, dn; tie_ins: variant (one row each); unconnected: variant, flow."""
-    out = segments.groupBy("variant").agg(money(F.col("cost")).alias("segment_cost"), money(half_up(F.col("length"), 2)).alias("new_length"))
+    out = segments.groupBy("variant").agg(money(F.col("cost")).alias("segment_cost"), money(half_up(F.col("length"), 2)).alias("new_length"), F.count(F.lit(1)).alias("n_segments"))
     extra = [
         (chambers, lambda df: df.groupBy("variant").agg(money(rules.chamber_price(F.col("dn"))).alias("chamber_cost")), "chamber_cost"),
         (tie_ins, lambda df: df.groupBy("variant").agg((F.count(F.lit(1)) * rules.tie_in_cost).cast("double").alias("tie_in_cost")), "tie_in_cost"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ductwork.rules import DEPTH
 
-#: Cost of a bend, and the pull of every metre towards the normal depth.
+#: Cost of a bend, the pull of every metre towards the normal depth, and the part of the steepest slope that is used.
 BEND, PULL = 1.0, 0.001
 SLOPE = DEPTH["max_slope"] * 0.998
 
@@ -34,7 +34,9 @@ def candidates(zones: pd.DataFrame) -> list[np.ndarray]:
     mid = ((zones.lo + zones.hi) / 2).to_numpy()
     out = []
     for i, own in enumerate(zones.ranges):
-        more = {e + s * SLOPE * abs(mid[i] - mid[j]) for j in range(len(mid)) if j != i for e in ends[j] for s in (-1, 1)} if len(mid) <= 40 else set()
+        deepest = max(hi for _, hi in own) if own else 0.0
+        near = [j for j in range(len(mid)) if j != i and SLOPE * abs(mid[i] - mid[j]) <= deepest + 1]  # from farther away every depth can be reached
+        more = {e + s * SLOPE * abs(mid[i] - mid[j]) for j in near for e in ends[j] for s in (-1, 1)}
         out.append(np.array(sorted(v for v in set(ends[i]) | more if any(lo - 1e-9 <= v <= hi + 1e-9 for lo, hi in own))))
     return out
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ductwork.functions import geometry
@@ -17,21 +17,33 @@ def merge_spans(spans: DataFrame, keys: list[str], start: str, end: str, weight:
     return island.groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end), F.max(weight).alias(weight), F.count(F.lit(1)).alias("n_spans")).drop("__island")
 
 
+def dyadic_cover(first: Column, last: Column) -> Column:
+    """The whole numbers first to last - 1 as blocks (level, block): block b of level l holds b * 2^l and the 2^l - 1 numbers after it. At most two blocks a level."""
+    begin = lambda l: F.ceil(first / F.pow(F.lit(2.0), l)).cast("long")
+    end = lambda l: F.floor(last / F.pow(F.lit(2.0), l)).cast("long")
+    block = lambda l, at: F.struct(l.alias("level"), at.alias("block"))
+    levels = F.sequence(F.lit(0), F.ceil(F.log2(last.cast("double") + 1)).cast("int"))
+    both = F.transform(levels, lambda l: F.array(F.when((begin(l) < end(l)) & (begin(l) % 2 == 1), block(l, begin(l))), F.when((begin(l) < end(l)) & (end(l) % 2 == 1), block(l, end(l) - 1))))
+    return F.filter(F.flatten(both), lambda x: x.isNotNull())
+
+
 def sweep(spans: DataFrame, keys: list[str], start: str, end: str, weight: str) -> DataFrame:
     """A line is cut at every span bound; each covered piece has the number of spans over it and their largest weight.
 
-    One pass over the sorted bounds: the active count is a running sum, and the weight comes from spans joined by their first
-    piece only, so no span is compared with pieces that it does not cover."""
+    A span is laid on a binary tree over the key's pieces, as at most two blocks a level, and a piece looks up the one block of
+    each level that holds it: n spans cost n log n rows, however much they overlap."""
     bounds = spans.select(*keys, F.col(start).alias("at")).union(spans.select(*keys, F.col(end).alias("at"))).distinct()
     order = Window.partitionBy(*keys).orderBy("at")
-    pieces = bounds.withColumn("until", F.lead("at").over(order)).withColumn("__no", F.row_number().over(order)).where("until is not null")
-    numbered = bounds.withColumn("__no", F.row_number().over(order))
+    numbered = bounds.withColumn("until", F.lead("at").over(order)).withColumn("__no", (F.row_number().over(order) - 1).cast("long"))
     first = numbered.select(*keys, F.col("at").alias(start), F.col("__no").alias("__from"))
     last = numbered.select(*keys, F.col("at").alias(end), F.col("__no").alias("__to"))
-    covered = spans.where(F.col(end) > F.col(start)).join(first, [*keys, start]).join(last, [*keys, end])
-    covered = covered.select(*keys, weight, F.explode(F.sequence("__from", F.col("__to") - 1)).alias("__no"))
-    active = covered.groupBy(*keys, "__no").agg(F.count(F.lit(1)).alias("n_active"), F.max(weight).alias(weight))
-    return pieces.join(active, [*keys, "__no"]).drop("__no")
+    laid = spans.where(F.col(end) > F.col(start)).join(first, [*keys, start]).join(last, [*keys, end])
+    laid = laid.select(*keys, weight, F.explode(dyadic_cover(F.col("__from"), F.col("__to"))).alias("__b"))
+    laid = laid.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("n_active"), F.max(weight).alias(weight))
+    most = numbered.groupBy(*keys).agg(F.ceil(F.log2(F.max("__no").cast("double") + 1)).cast("int").alias("__levels"))
+    level = F.explode(F.transform(F.sequence(F.lit(0), F.col("__levels")), lambda l: F.struct(l.alias("level"), F.floor(F.col("__no") / F.pow(F.lit(2.0), l)).cast("long").alias("block"))))
+    looked = numbered.where("until is not null").join(most, keys).select(*keys, "at", "until", level.alias("__b"))
+    return looked.join(laid, [*keys, "__b"]).groupBy(*keys, "at", "until").agg(F.sum("n_active").alias("n_active"), F.max(weight).alias(weight))
 
 
 def covered_length(spans: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:

@@ -42,29 +42,62 @@ def pairs_within(points: DataFrame, radius: float, id_column: str = "id") -> Dat
 
 
 def nearest(left: DataFrame, right: DataFrame, k: int, first_radius: float, rings: int = 30) -> DataFrame:
-    """The k nearest right points of each left point: left_id, right_id, d2, rank; ties to the smaller right_id.
-
-    The radius doubles until every left point has k neighbours within it; points that have them leave the search, so only
-    stragglers see wide rings. The last ring's radius is bounded by the extent of both sets."""
+    """The k nearest right points of each left point: left_id, right_id, d2, rank; ties to the smaller right_id."""
     a, b = left.select("id", "x", "y"), right.select("id", "x", "y")
-    extent = a.select("x", "y").union(b.select("x", "y")).agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.count(F.lit(1))).first()
-    if not extent[2]:
-        return within_distance(a, b, 1.0).withColumn("rank", F.lit(1).cast("long"))
+    d2 = geometry.square_distance(F.col("x"), F.col("y"), F.col("__u"), F.col("__v"))
+    far = lambda rest: spread_pairs(rest, b.select(F.col("id").alias("right_id"), F.col("x").alias("__u"), F.col("y").alias("__v"))).select(F.col("id").alias("left_id"), "right_id", d2.alias("d2"))
+    return growing(a, lambda rest, radius: within_distance(rest, b, radius), far, b.select("x", "y"), k, first_radius, rings)
+
+
+def nearest_segments(points: DataFrame, segments: DataFrame, k: int, first_radius: float, rings: int = 30) -> DataFrame:
+    """The k nearest segments (id, x1, y1, x2, y2) of each point (id, x, y), at any distance: left_id, right_id, d2, rank, piece (x1, y1, x2, y2).
+
+    A right id with several pieces counts once, by its nearest piece."""
+    a, b = points.select("id", "x", "y"), segments.select("id", "x1", "y1", "x2", "y2")
+    piece = F.struct(*[F.col(f"r_{c}").alias(c) for c in ("x1", "y1", "x2", "y2")]).alias("piece")
+    once = lambda pairs: pairs.groupBy("left_id", "right_id").agg(F.min(F.struct("d2", "piece")).alias("m")).select("left_id", "right_id", "m.d2", "m.piece")
+
+    def near(rest: DataFrame, radius: float) -> DataFrame:
+        dots = rest.select("id", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+        return once(segments_near(dots, b, radius, radius).select("left_id", "right_id", "d2", piece))
+
+    def far(rest: DataFrame) -> DataFrame:
+        all_ = spread_pairs(rest, b.select(F.col("id").alias("right_id"), *[F.col(c).alias(f"r_{c}") for c in ("x1", "y1", "x2", "y2")]))
+        d2 = geometry.point_segment_square(F.col("x"), F.col("y"), F.col("r_x1"), F.col("r_y1"), F.col("r_x2"), F.col("r_y2"))
+        return once(all_.select(F.col("id").alias("left_id"), "right_id", d2.alias("d2"), piece))
+
+    ends = b.select(F.col("x1").alias("x"), F.col("y1").alias("y")).union(b.select("x2", "y2"))
+    return growing(a, near, far, ends, k, first_radius, rings)
+
+
+def growing(left: DataFrame, near, far, right_points: DataFrame, k: int, first_radius: float, rings: int) -> DataFrame:
+    """k nearest by growing rings: near(rest, radius) gives the pairs within a radius, far(rest) all pairs.
+
+    The radius quadruples until every left row has k neighbours within it; rows that have them leave the search, so only
+    stragglers see wide rings. Once a ring spans both sets, the stragglers meet all of the right side, shared out over tasks."""
+    extent = left.select("x", "y").union(right_points).agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
     farthest = ((extent[0] or 0) ** 2 + (extent[1] or 0) ** 2) ** 0.5 + 1
     order = Window.partitionBy("left_id").orderBy("d2", "right_id")
-    found, radius, rest = [], float(first_radius), a
+    top = lambda pairs: pairs.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+    found, radius, rest = [], float(first_radius), left
     for _ in range(rings):
-        last = radius >= farthest
-        near = durable(within_distance(rest, b, farthest if last else radius).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k))
-        full = near.groupBy("left_id").agg(F.count(F.lit(1)).alias("n")).where(F.lit(True) if last else F.col("n") >= k).select("left_id")
-        found.append(near.join(full, "left_id", "left_semi"))
-        if last:
+        if radius >= farthest / 2:
             break
+        ring = durable(top(near(rest, radius)))
+        full = ring.groupBy("left_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("left_id")
+        found.append(ring.join(full, "left_id", "left_semi"))
         rest = durable(rest.join(full.withColumnRenamed("left_id", "id"), "id", "left_anti"))
         if rest.limit(1).count() == 0:
-            break
+            return reduce(DataFrame.unionByName, found)
         radius *= 4
-    return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, [*found, durable(top(far(rest)))])
+
+
+def spread_pairs(few: DataFrame, many: DataFrame, most: int = 64) -> DataFrame:
+    """Every row of few with every row of many (right_id, …): many is dealt out by hash, few stands at every share."""
+    shares = min(most, int(few.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = many.withColumn("__share", F.pmod(F.xxhash64("right_id"), F.lit(shares)))
+    return few.withColumn("__share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long")))).join(dealt, "__share").drop("__share")
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
@@ -75,31 +108,44 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float) -> DataFra
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
-    """Pairs (point_id, polygon_id): polygons id, ring (array of struct(x, y), closed); the boundary counts as inside."""
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    boxed = polygons.select("id", "ring", F.array_min(xs).alias("x1"), F.array_min(ys).alias("y1"), F.array_max(xs).alias("x2"), F.array_max(ys).alias("y2"))
+    """Pairs (point_id, polygon_id): polygons id and ring (array of struct(x, y), closed) or rings (array of those: holes and further polygons count by parity); the boundary counts as inside."""
+    if "rings" not in polygons.columns:
+        polygons = polygons.select("id", F.array("ring").alias("rings"))
+    xs, ys = F.transform(F.flatten("rings"), lambda p: p["x"]), F.transform(F.flatten("rings"), lambda p: p["y"])
+    boxed = polygons.select("id", "rings", F.array_min(xs).alias("x1"), F.array_min(ys).alias("y1"), F.array_max(xs).alias("x2"), F.array_max(ys).alias("y2"))
     a = points.select(F.col("id").alias("point_id"), "x", "y").withColumn("__cell", F.struct(cell(F.col("x"), size).alias("cx"), cell(F.col("y"), size).alias("cy")))
     b = boxed.withColumnRenamed("id", "polygon_id").withColumn("__cell", F.explode(cells_of_box(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), size)))
     near = a.join(b, "__cell").where("x between x1 and x2 and y between y1 and y2")
-    return near.where(geometry.in_ring(F.col("x"), F.col("y"), F.col("ring"))).select("point_id", "polygon_id")
+    return near.where(geometry.in_rings(F.col("x"), F.col("y"), F.col("rings"))).select("point_id", "polygon_id")
+
+
+def cells_of_line(x1: Column, y1: Column, x2: Column, y2: Column, grow: float, size: float) -> Column:
+    """The cells that a line, as wide as grow on every side, can meet: column by column, the rows between its heights there."""
+    low, high = F.least(x1, x2), F.greatest(x1, x2)
+    height = lambda x: F.when(x1 == x2, y1).otherwise(y1 + (y2 - y1) * (x - x1) / (x2 - x1))
+
+    def column(cx: Column) -> Column:
+        a = height(F.greatest(low, F.least(high, cx * size - grow)))
+        b = F.when(x1 == x2, y2).otherwise(height(F.least(high, F.greatest(low, (cx + 1) * size + grow))))
+        return F.transform(F.sequence(cell(F.least(a, b) - grow, size), cell(F.greatest(a, b) + grow, size)), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))
+
+    return F.flatten(F.transform(F.sequence(cell(low - grow, size), cell(high + grow, size)), column))
 
 
 def segments_near(left: DataFrame, right: DataFrame, radius: float, size: float) -> DataFrame:
     """Pairs (left_id, right_id, d2) of segments at most radius apart: id, x1, y1, x2, y2 on both sides.
 
-    Both go to the cells of their boxes, the left one's grown by radius; a pair that shares several cells is kept from the first."""
-    low, high = lambda c: F.least(f"{c}1", f"{c}2"), lambda c: F.greatest(f"{c}1", f"{c}2")
+    Both go to the cells that they meet, the left one widened by radius, so a long slanting line costs its length and not its
+    box. Pairs that share several cells are kept once; so are rows that repeat in all of id and place."""
+    ends = ("x1", "y1", "x2", "y2")
 
-    def spread(df: DataFrame, name: str, grow: float) -> DataFrame:
-        box = df.select(F.col("id").alias(name), "x1", "y1", "x2", "y2", (low("x") - grow).alias("lx"), (low("y") - grow).alias("ly"), (high("x") + grow).alias("hx"), (high("y") + grow).alias("hy"))
-        return box.withColumn("__cell", F.explode(cells_of_box(F.col("lx"), F.col("ly"), F.col("hx"), F.col("hy"), size)))
+    def spread(df: DataFrame, name: str, prefix: str, grow: float) -> DataFrame:
+        rows = df.where(" and ".join(f"{c} is not null" for c in ends)).select(F.col("id").alias(name), *[F.col(c).alias(prefix + c) for c in ends])
+        return rows.withColumn("__cell", F.explode(cells_of_line(*[F.col(prefix + c).cast("double") for c in ends], grow, size)))
 
-    a, b = spread(left, "left_id", radius), spread(right, "right_id", 0.0)
-    b = b.select("right_id", "__cell", *[F.col(c).alias(f"r_{c}") for c in ("x1", "y1", "x2", "y2", "lx", "ly", "hx", "hy")])
-    near = a.join(b, "__cell").where("lx <= r_hx and r_lx <= hx and ly <= r_hy and r_ly <= hy")
-    first = (F.col("__cell.cx") == F.greatest(cell(F.col("lx"), size), cell(F.col("r_lx"), size))) & (F.col("__cell.cy") == F.greatest(cell(F.col("ly"), size), cell(F.col("r_ly"), size)))
-    d2 = geometry.segment_segment_square(tuple(map(F.col, ("x1", "y1", "x2", "y2"))), tuple(map(F.col, ("r_x1", "r_y1", "r_x2", "r_y2"))))
-    return near.where(first).withColumn("d2", d2).where(F.col("d2") <= radius * radius)
+    d2 = geometry.segment_segment_square(tuple(map(F.col, ends)), tuple(F.col(f"r_{c}") for c in ends))
+    near = spread(left, "left_id", "", radius + 1e-6).join(spread(right, "right_id", "r_", 1e-6), "__cell").withColumn("d2", d2).where(F.col("d2") <= radius * radius)
+    return near.drop("__cell").dropDuplicates(["left_id", "right_id", *ends, *[f"r_{c}" for c in ends]])
 
 
 def coincident(points: DataFrame, scale: int = 100) -> DataFrame:

@@ -16,6 +16,7 @@ from ductwork.functions import geometry
 from ductwork.operators import spatial, trees
 from ductwork.rules import DEPTH, Rules, half_up
 
+#: Tolerances of the checks, in m and t/h.
 NODE_TOLERANCE, LENGTH_TOLERANCE, FLOW_TOLERANCE, DEPTH_TOLERANCE = 0.05, 0.05, 0.01, 0.0015
 
 

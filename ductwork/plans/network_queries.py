@@ -94,8 +94,7 @@ select variant, construction_cost, new_length, n_segments, score, row_number() o
 def variant_summary(spark, sf_dir):
     """Cost, length and score of each variant, ranked: the flagship query."""
     priced = pipes(spark, sf_dir)
-    totals = costing.variant_totals(priced, RULES).join(priced.groupBy("variant").agg(F.count(F.lit(1)).alias("n_segments")), "variant")
-    return costing.rank_variants(totals).select("variant", "construction_cost", "new_length", "n_segments", "score", "rank")
+    return costing.rank_variants(costing.variant_totals(priced, RULES)).select("variant", "construction_cost", "new_length", "n_segments", "score", "rank")
 
 
 @query(f"with {PIPES_SQL} select l_orderkey, l_linenumber, l_partkey, dn, cost from priced")
@@ -493,15 +492,12 @@ def median_split(spark, sf_dir):
     return planning.median_split(pts).select("id", "group_id")
 
 
-@query(f"""with {CUST}, {SUPP}, {SEG.format('su')}, t as (select cu.id as point_id, s.id as object_id, sqrt({_ps('cu.x', 'cu.y', 's')}) as d from cu join seg s on {_ps('cu.x', 'cu.y', 's')} <= 1000000)
+@query(f"""with {CUST}, {SUPP}, {SEG.format('su')}, t as (select cu.id as point_id, s.id as object_id, sqrt({_ps('cu.x', 'cu.y', 's')}) as d from cu join seg s on true)
 select point_id, object_id, floor(d * 100 + 0.5) / 100.0::DOUBLE as distance from t qualify row_number() over (partition by point_id order by d, object_id) <= 3""")
 def tie_in_pipes(spark, sf_dir):
-    """The three nearest pipes of each consumer, by distance to the pipe's line."""
-    dots = points(spark, sf_dir, "customer", "c_custkey").select("id", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    near = spatial.segments_near(dots, chain(points(spark, sf_dir, "supplier", "s_suppkey")), 1000.0, 1000.0)
-    near = near.select(F.col("left_id").alias("point_id"), F.col("right_id").alias("object_id"), F.sqrt("d2").alias("d"))
-    near = costing.top_candidates(near, "point_id", "object_id", [F.col("d"), F.col("object_id")], 3)
-    return near.select("point_id", "object_id", half_up(F.col("d"), 2).alias("distance"))
+    """The three nearest pipes of each consumer, by distance to the pipe's line, however far."""
+    near = spatial.nearest_segments(points(spark, sf_dir, "customer", "c_custkey"), chain(points(spark, sf_dir, "supplier", "s_suppkey")), 3, 500.0)
+    return near.select(F.col("left_id").alias("point_id"), F.col("right_id").alias("object_id"), half_up(F.sqrt("d2"), 2).alias("distance"))
 
 
 def planned_network(spark, sf_dir):

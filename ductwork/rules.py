@@ -65,6 +65,7 @@ class Rules:
     diameters: tuple = DIAMETERS
     chambers: tuple = CHAMBERS
     restrictions: dict = field(default_factory=lambda: RESTRICTIONS)
+    # Prices, distances, penalties and score weights.
     tie_in_cost: int = 5_000_000
     chamber_distance_m: float = 10.0
     chamber_segments: int = 4
