@@ -40,6 +40,21 @@ def tree_faults(edges: DataFrame, root: int) -> DataFrame:
     return duplicate.union(parents).union(into_root).union(orphan)
 
 
+def cycle_nodes(edges: DataFrame) -> DataFrame:
+    """node, cycle (its smallest node) for every node on a cycle of parent pointers. edges: node, parent, one row a node.
+
+    After 2^k >= n doubled steps a pointer still set stands on a cycle, and every node of a cycle is some pointer's target."""
+    state = stored(edges.where("parent is not null").select("node", F.col("parent").alias("up")))
+    steps, size = 1, state.count()
+    while steps < size and state.limit(1).count():
+        hop = state.select(F.col("node").alias("up"), F.col("up").alias("next"))
+        state, steps = stored(state.join(hop, "up").select("node", F.col("next").alias("up"))), 2 * steps
+    on = stored(state.select(F.col("up").alias("node")).distinct())
+    links = edges.join(on, "node").select(F.col("node").alias("a"), F.col("parent").alias("b"))
+    loops = links.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("cycle"))
+    return components(links).select("node", F.col("comp").alias("cycle")).unionByName(loops)
+
+
 def runs_to_root(edges: DataFrame, rounds: int = 500) -> DataFrame:
     """node, run: the length from a node towards the root over edges of the same kind as its own. edges: node, parent, kind, length.
 

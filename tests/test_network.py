@@ -238,3 +238,61 @@ def test_components_against_naive(spark):
     assert trees.components(df.where("a < 0")).collect() == []
     words = spark.createDataFrame([("b", "a"), ("c", "b"), ("z", "y"), (None, "a")], "a string, b string")
     assert {(x.node, x.comp) for x in trees.components(words).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("y", "y"), ("z", "y")}
+
+
+def test_reader_parts_walls_and_cycles(spark, tmp_path):
+    far = lambda *p: [[37.6 + a / 1000, 55.7 + b / 1000] for a, b in p]
+    square = lambda a, b, c: far((a, b), (a + c, b), (a + c, b + c), (a, b + c), (a, b))
+    rows = [
+        feature("source", "Point", [37.6, 55.7], id=1),
+        feature("heat_network", "MultiLineString", [far((2, 0), (1, 0)), far((0, 0), (1, 0)), far((2, 0), (3, 1))], id="m", diameter=100, flow_tph=1),
+        feature("heat_network", "LineString", far((3, 1), (3, 4)), id="n", diameter=100, flow_tph=1),
+        feature("heat_network", "LineString", far((3, 2), (5, 2)), id="tee", diameter=100, flow_tph=1),
+        feature("heat_network", "LineString", far((50, 50), (51, 50)), id="away", diameter=100, flow_tph=1),
+        feature("heat_chamber", "Point", far((3, 1))[0], id="c"),
+        feature("oks_future", "MultiPolygon", [[square(10, 10, 2)], [square(20, 20, 4), square(21, 21, 1)]], id="b", flow_tph=5),
+        feature("oks_connection_point", "Point", far((23, 23))[0], id="in2", flow_tph=1),
+        feature("oks_connection_point", "Point", far((21.5, 21.5))[0], id="hole", flow_tph=1),
+        feature("oks_connection_point", "Point", [37.6 + 0.024 + 1e-8, 55.7 + 0.022], id="wall", flow_tph=1),
+    ]
+    path = tmp_path / "a.json"
+    path.write_text("\n".join(json.dumps(f) for f in rows))
+    data = features.read(spark, str(path))
+    assert data.diagnostics.collect() == []
+    line = {r.id: r.pts for r in data.segments.collect()}["m"]
+    assert len(line) == 4
+    assert {r.cp_id: r.oks_id for r in data.connection_points.collect()} == {"in2": "b", "hole": None, "wall": "b"}
+    assert {r.id: r.upstream for r in features.orient(data.sources, data.segments, data.chambers).collect()} == {"m": "1", "n": "c", "tee": "n"}
+    assert {r.id: r.id_is_number for r in data.features.collect() if r.id in ("1", "m")} == {"1": True, "m": False}
+    wrong = [
+        feature("heat_network", "MultiLineString", [far((0, 0), (1, 0)), far((5, 0), (6, 0))], id="gap", diameter=100),
+        feature("oks_future", "Polygon", [far((0, 0), (2, 2), (2, 0), (0, 2), (0, 0))], id="bow", flow_tph=1),
+        *[feature("heat_network", "LineString", far((i, 9), (i, 8)), id=f"k{i}", diameter=50, upstream_object_id=f"k{(i + 1) % 3}") for i in range(3)],
+        feature("heat_network", "LineString", far((7, 9), (7, 8)), id="k7", diameter=50, upstream_object_id="k0"),
+        {**feature("source", "Point", [0, 0]), "properties": {"object_type": "source", "other": {"id": "x"}}},
+    ]
+    path.write_text("\n".join(json.dumps(f) for f in wrong))
+    found = {(r.feature_id, r.problem) for r in features.read(spark, str(path)).diagnostics.collect()}
+    assert found == {("gap", "parts do not join to one line"), ("bow", "a ring crosses itself"), ("k0", "upstream objects form a cycle"), ("#7", "missing")}
+
+
+def test_collection_writer(spark, tmp_path):
+    seg = spark.createDataFrame([("v1", "s1", [{"x": 413237.6, "y": 6179889.0}, {"x": 413337.6, "y": 6179889.0}], "a", "b", 2.5, 65, 100.0, "base", 7863100.0)], "variant_id string, id string, pts array<struct<x:double,y:double>>, start_node_id string, end_node_id string, flow_tph double, dn int, length double, laying_method string, cost double")
+    nodes = spark.createDataFrame([("v1", "c1", "heat_chamber", 413237.6, 6179889.0, 200, 3e6, None), ("v1", "t1", "technical_node", 413337.6, 6179889.0, None, None, "bend")], "variant_id string, id string, kind string, x double, y double, dn int, cost double, reason string")
+    summary = spark.createDataFrame([("v1", 1, 10863100.0, 0.43712, ["o1"])], "variant_id string, rank int, calculated_cost double, score double, unconnected_oks_ids array<string>")
+    parts = [features.summary_features(summary), features.to_features(seg), features.node_features(nodes)]
+    features.write_collection(parts, str(tmp_path / "out"))
+    got = json.loads("\n".join(r.value for r in spark.read.text(str(tmp_path / "out")).collect()))
+    assert [f["properties"]["object_type"] for f in got["features"]] == ["variant_summary", "heat_network", "heat_chamber", "technical_node"]
+    assert got["features"][0]["properties"]["score"] == 0.4371 and got["features"][0]["geometry"] is None
+    features.write_collection([p.where("false") for p in parts], str(tmp_path / "none"))
+    assert json.loads(spark.read.text(str(tmp_path / "none")).first().value)["features"] == []
+    doc = features.criteria_json(spark.createDataFrame([("v1", 2, None)], "variant string, n_turns int, cost_per_tph double")).first()
+    assert json.loads(doc.value) == {"n_turns": 2, "cost_per_tph": None}
+
+
+def test_locate_and_centroid(spark):
+    line = F.array(*[F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y")) for a, b in ((0, 0), (10, 0), (10, 10))])
+    ring = F.array(*[F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y")) for a, b in ((0, 0), (6, 0), (6, 2), (0, 2), (0, 0))])
+    got = one(spark, *[geometry.locate(line, F.lit(s)) for s in (-1.0, 4.0, 15.0, 99.0)], geometry.centroid(ring))
+    assert [tuple(p) for p in got] == [(0.0, 0.0), (4.0, 0.0), (10.0, 5.0), (10.0, 10.0), (3.0, 1.0)]
