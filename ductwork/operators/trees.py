@@ -40,6 +40,17 @@ def tree_faults(edges: DataFrame, root: int) -> DataFrame:
     return duplicate.union(parents).union(into_root).union(orphan)
 
 
+def below(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """node: every node at or below the nodes of start. edges: node, parent. Pointers double, so a tree of depth d takes log2(d) rounds; cycles reach nothing but themselves."""
+    state = stored(edges.join(start.select("node", F.lit(True).alias("hit")), "node", "left").select("node", F.col("parent").alias("up"), F.coalesce("hit", F.lit(False)).alias("hit")))
+    steps, size = 1, state.count()
+    while steps < 2 * size and state.where("not hit and up is not null").limit(1).count():
+        hop = state.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("hit").alias("above"))
+        state = stored(state.join(hop, "up", "left").select("node", F.when(~F.col("hit"), F.col("next")).alias("up"), (F.col("hit") | F.coalesce("above", F.lit(False))).alias("hit")))
+        steps *= 2
+    return state.where("hit").select("node")
+
+
 def cycle_nodes(edges: DataFrame) -> DataFrame:
     """node, cycle (its smallest node) for every node on a cycle of parent pointers. edges: node, parent, one row a node.
 

@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ductwork.functions import geometry
-from ductwork.operators import spatial, trees
-from ductwork.rules import DEPTH, Rules, half_up
+from ductwork.operators import planning, spatial, trees
+from ductwork.rules import DEPTH, DEPTH_COVER, DEPTH_CROSSINGS, Rules, half_up
+from ductwork.storage import stored
 
 #: Tolerances of the checks, in m and t/h.
-NODE_TOLERANCE, LENGTH_TOLERANCE, FLOW_TOLERANCE, DEPTH_TOLERANCE = 0.05, 0.05, 0.01, 0.0015
+NODE_TOLERANCE, LENGTH_TOLERANCE, FLOW_TOLERANCE, DEPTH_TOLERANCE, ZONE_TOLERANCE = 0.05, 0.05, 0.01, 0.0015, 0.1
 
 
 def broken(df: DataFrame, code: str, id_column: str = "id", detail: Column | None = None) -> DataFrame:
@@ -29,6 +30,11 @@ def duplicate_ids(features: DataFrame) -> DataFrame:
     return broken(features.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "A0", detail=F.col("n"))
 
 
+def object_types(features: DataFrame) -> DataFrame:
+    """A1: an output file holds four object types only."""
+    return broken(features.where(~F.coalesce(F.col("object_type").isin("heat_network", "heat_chamber", "technical_node", "variant_summary"), F.lit(False))), "A1", detail=F.col("object_type"))
+
+
 def node_references(segments: DataFrame, nodes: DataFrame) -> DataFrame:
     """A2: both ends name a node of the variant."""
     ends = segments.select("id", "variant_id", F.explode(F.array("start_node", "end_node")).alias("node"))
@@ -62,10 +68,11 @@ def special_is_straight(segments: DataFrame) -> DataFrame:
     return broken(segments.where("laying = 'special'").where(F.size("pts") != 2), "B2")
 
 
-def clearance(segments: DataFrame, obstacles: DataFrame, rules: Rules, cell: float = 50.0) -> DataFrame:
+def clearance(segments: DataFrame, obstacles: DataFrame, rules: Rules, cell: float = 50.0, areas: DataFrame | None = None) -> DataFrame:
     """B7 (B3 for buildings): axis to object at least clearance + half the pipe's width + half the object's.
 
-    obstacles: id, restriction_type, and edges as x1, y1, x2, y2 (one row per edge). Special objects are not in it."""
+    obstacles: id, restriction_type, and edges as x1, y1, x2, y2 (one row per edge); areas: id, restriction_type, rings, in which
+    no pipe may lie, however far from the edges. Special objects are not in it."""
     pieces = segments.where(F.size("pts") > 1).select("id", "dn", F.explode(F.sequence(F.lit(0), F.size("pts") - 2)).alias("i"), "pts")
     a, b = F.get("pts", F.col("i")), F.get("pts", F.col("i") + 1)
     lines = pieces.select(F.struct("id", "dn").alias("id"), a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2"))
@@ -74,7 +81,12 @@ def clearance(segments: DataFrame, obstacles: DataFrame, rules: Rules, cell: flo
     near = spatial.segments_near(lines, forbid, most, cell)
     kind, dn = F.col("right_id.restriction_type"), F.col("left_id.dn")
     need = rules.clearance(kind, dn) + rules.width(dn) / 2 + F.coalesce(rules.restriction(kind, "half_width_m"), F.lit(0.0))
-    bad = near.where(F.sqrt("d2") < need - 0.01).select(F.col("left_id.id").alias("id"), kind.alias("kind"), F.col("right_id.id").alias("other")).distinct()
+    bad = near.where(F.sqrt("d2") < need - 0.01).select(F.col("left_id.id").alias("id"), kind.alias("kind"), F.col("right_id.id").alias("other"))
+    if areas is not None:
+        solid = areas.where(rules.restriction(F.col("restriction_type"), "rule") == "forbid").select(F.struct("id", "restriction_type").alias("id"), "rings")
+        within = spatial.points_in_polygons(lines.select("id", F.col("x1").alias("x"), F.col("y1").alias("y")), solid, cell)
+        bad = bad.union(within.select("point_id.id", F.col("polygon_id.restriction_type"), F.col("polygon_id.id")))
+    bad = bad.distinct()
     return broken(bad.where("kind = 'oks_existing'"), "B3", detail=F.col("other")).union(broken(bad.where("kind <> 'oks_existing'"), "B7", detail=F.col("other")))
 
 
@@ -170,9 +182,130 @@ def self_crossings(segments: DataFrame, cell: float = 50.0) -> DataFrame:
     return broken(bad, "B15", detail=F.col("other"))
 
 
+def crossings(segments: DataFrame, objects: DataFrame, cell: float = 50.0) -> DataFrame:
+    """Where straight pieces of segments cross edges of special objects: id, laying, dn, i, object_id, restriction_type, x, y, angle, to_start, to_end (along the piece).
+
+    objects: id, restriction_type, x1, y1, x2, y2 (one row per edge)."""
+    pieces = segments.where(F.size("pts") > 1).select("id", "laying", "dn", "pts", F.explode(F.sequence(F.lit(0), F.size("pts") - 2)).alias("i"))
+    a, b = F.get("pts", F.col("i")), F.get("pts", F.col("i") + 1)
+    lines = pieces.select(F.struct("id", "laying", "dn", "i").alias("id"), a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2"))
+    near = spatial.segments_near(lines, objects.select(F.struct("id", "restriction_type").alias("id"), "x1", "y1", "x2", "y2"), 0.0, cell)
+    one, two = tuple(map(F.col, ("x1", "y1", "x2", "y2"))), tuple(map(F.col, ("r_x1", "r_y1", "r_x2", "r_y2")))
+    ux, uy, vx, vy = one[2] - one[0], one[3] - one[1], two[2] - two[0], two[3] - two[1]
+    t = F.try_divide((two[0] - one[0]) * vy - (two[1] - one[1]) * vx, ux * vy - uy * vx)
+    whole = F.sqrt(ux * ux + uy * uy)
+    met = near.where(geometry.segments_cross(one, two)).withColumn("t", t).where("t is not null")
+    return met.select("left_id.*", F.col("right_id.id").alias("object_id"), F.col("right_id.restriction_type").alias("restriction_type"), (F.col("x1") + t * ux).alias("x"), (F.col("y1") + t * uy).alias("y"), geometry.acute_angle(ux, uy, vx, vy).alias("angle"), (t * whole).alias("to_start"), ((1 - t) * whole).alias("to_end"))
+
+
+def special_crossings(segments: DataFrame, objects: DataFrame, rules: Rules, cell: float = 50.0) -> DataFrame:
+    """Crossings at the least angle of their type or more; B12: a special piece reaches the margin beyond each crossing; B13: no crossing outside special pieces."""
+    met = crossings(segments, objects.where(rules.restriction(F.col("restriction_type"), "rule") == "special"), cell)
+    kind = F.col("restriction_type")
+    b9 = broken(met.where(F.col("angle") < rules.restriction(kind, "min_angle_deg")), "B9", detail=F.col("object_id"))
+    short = F.least("to_start", "to_end") < rules.restriction(kind, "margin_m") - ZONE_TOLERANCE
+    b12 = broken(met.where("laying = 'special'").where(short), "B12", detail=F.col("object_id"))
+    return b9.union(b12).union(broken(met.where("laying <> 'special'"), "B13", detail=F.col("object_id"))).distinct()
+
+
+def line_clearance(segments: DataFrame, objects: DataFrame, rules: Rules, cell: float = 50.0) -> DataFrame:
+    """B10 (B11 for the existing network): outside the circle of need + 0.1 m around its crossings, a pipe keeps its distance from a special line object.
+
+    A piece is judged by its ends: an end nearer than the need, farther than the circle from every crossing of that object with the pipe."""
+    special = objects.where(rules.restriction(F.col("restriction_type"), "rule") == "special").where("restriction_type not in ('road', 'tram_tracks')")
+    ends = segments.where(F.size("pts") > 1).select("id", "dn", F.posexplode("pts").alias("at", "p")).select(F.struct("id", "dn", "at").alias("id"), F.col("p.x").alias("x1"), F.col("p.y").alias("y1"), F.col("p.x").alias("x2"), F.col("p.y").alias("y2"))
+    most = max(m for r in rules.restrictions.values() if r[0] == "special" for _, m in r[1]) + max(d[5] for d in rules.diameters) / 2 + max(r[5] or 0.0 for r in rules.restrictions.values())
+    near = spatial.segments_near(ends, special.select(F.struct("id", "restriction_type").alias("id"), "x1", "y1", "x2", "y2"), most, cell)
+    kind, dn = F.col("right_id.restriction_type"), F.col("left_id.dn")
+    need = rules.clearance(kind, dn) + rules.width(dn) / 2 + F.coalesce(rules.restriction(kind, "half_width_m"), F.lit(0.0))
+    bad = near.withColumn("need", need).where(F.sqrt("d2") < F.col("need") - 0.01).select(F.col("left_id.id").alias("id"), F.col("left_id.at").alias("at"), F.col("right_id.id").alias("object_id"), kind.alias("kind"), "need", "x1", "y1")
+    met = crossings(segments, special, cell).select("id", "object_id", "x", "y")
+    inside = bad.join(met, ["id", "object_id"]).where(geometry.square_distance(F.col("x1"), F.col("y1"), F.col("x"), F.col("y")) <= (F.col("need") + 0.1) * (F.col("need") + 0.1)).select("id", "at", "object_id").distinct()
+    left = bad.join(inside, ["id", "at", "object_id"], "left_anti").select("id", "object_id", "kind").distinct()
+    return broken(left.where("kind <> 'heat_network'"), "B10", detail=F.col("object_id")).union(broken(left.where("kind = 'heat_network'"), "B11", detail=F.col("object_id")))
+
+
+def chain_diameters(segments: DataFrame, nodes: DataFrame) -> DataFrame:
+    """At a technical node the diameter changes only with the flow; C7: so it does along a chain without branches."""
+    above = segments.select("variant_id", F.col("end_node").alias("start_node"), F.col("flow").alias("up_flow"), F.col("dn").alias("up_dn"))
+    only = segments.groupBy("variant_id", "start_node").agg(F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
+    same = segments.join(above, ["variant_id", "start_node"]).where((F.abs(F.col("flow") - F.col("up_flow")) <= 1e-3) & (F.col("dn") != F.col("up_dn")))
+    kinds = nodes.select("variant_id", F.col("id").alias("start_node"), "kind")
+    technical = same.join(kinds.where("kind = 'technical'"), ["variant_id", "start_node"], "left_semi")
+    return broken(technical, "C3", detail=F.col("up_dn")).union(broken(same.join(only, ["variant_id", "start_node"], "left_semi"), "C7", detail=F.col("up_dn")))
+
+
+def least_diameters(segments: DataFrame, rules: Rules) -> DataFrame:
+    """No diameter above what flow, children and runs ask for."""
+    key = lambda c: F.concat_ws("|", "variant_id", c)
+    edges = segments.select("id", key("end_node").alias("node"), key("start_node").alias("parent"), "flow", "length", F.col("dn").alias("given"))
+    want = planning.plan_diameters(edges.select("node", "parent", "flow", "length"), rules)
+    return broken(edges.join(want, "node").where(F.col("given") > F.col("dn")), "C6", detail=F.col("dn"))
+
+
+def connected(segments: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Every segment hangs, without a cycle, on a tie-in: a node of the existing network."""
+    key = lambda c: F.concat_ws("|", "variant_id", c)
+    edges = stored(segments.select("id", key("end_node").alias("node"), key("start_node").alias("parent")))
+    anchored = nodes.where("kind in ('existing', 'source')").select(key("id").alias("parent"))
+    roots = edges.join(edges.select(F.col("node").alias("parent")), "parent", "left_anti").join(anchored, "parent", "left_semi")
+    start = edges.join(anchored, "parent", "left_semi").unionByName(roots).select("node").distinct()
+    return broken(edges.join(trees.below(edges.select("node", "parent"), start), "node", "left_anti"), "C9")
+
+
+def degrees(segments: DataFrame, nodes: DataFrame, rules: Rules, on_pipe: DataFrame | None = None) -> DataFrame:
+    """Nothing runs on through a consumer; D6: a new chamber off the existing pipes branches; D10: a new chamber has new segments.
+
+    on_pipe: id, variant_id of chambers that stand on an existing pipe."""
+    ends = segments.select("variant_id", F.explode(F.array("start_node", "end_node")).alias("id")).groupBy("id", "variant_id").agg(F.count(F.lit(1)).alias("n"))
+    at = nodes.join(ends, ["id", "variant_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    free = at.where("kind = 'chamber'") if on_pipe is None else at.where("kind = 'chamber'").join(on_pipe, ["id", "variant_id"], "left_anti")
+    d4, d6 = broken(at.where("kind = 'consumer' and n > 1"), "D4", detail=F.col("n")), broken(free.where("n between 1 and 2"), "D6", detail=F.col("n"))
+    return d4.union(d6).union(broken(at.where("kind = 'chamber' and n = 0"), "D10"))
+
+
+def totals(segments: DataFrame, nodes: DataFrame, summary: DataFrame, consumers: DataFrame, rules: Rules) -> DataFrame:
+    """The summary's figures are there; E5: its costs are the sums; E9: a consumer is connected or listed as not.
+
+    summary: variant_id, construction_cost, calculated_cost, unconnected_oks_ids; consumers: variant_id, id, flow."""
+    e2 = broken(summary.where("rank is null or construction_cost is null or calculated_cost is null or new_length is null or score is null or calculated_cost < construction_cost - 0.005"), "E2", "variant_id")
+    cents = lambda c: F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
+    pipes, new = segments.groupBy("variant_id").agg(cents("cost").alias("a")), nodes.where("kind = 'chamber'").groupBy("variant_id").agg(cents("cost").alias("b"))
+    tied = segments.join(nodes.where("kind = 'existing'").select("variant_id", F.col("id").alias("start_node")), ["variant_id", "start_node"], "left_semi").groupBy("variant_id").agg((F.count(F.lit(1)) * rules.tie_in_cost).alias("c"))
+    lost = summary.select("variant_id", F.explode("unconnected_oks_ids").alias("id"))
+    fine = lost.join(consumers, ["variant_id", "id"]).groupBy("variant_id").agg(F.sum(rules.penalty(F.col("flow")).cast("decimal(18,2)")).cast("double").alias("d"))
+    sums = summary.join(pipes, "variant_id", "left").join(new, "variant_id", "left").join(tied, "variant_id", "left").join(fine, "variant_id", "left").fillna(0, ["a", "b", "c", "d"])
+    built = F.col("a") + F.col("b") + F.col("c")
+    e5 = broken(sums.where((F.abs(F.col("construction_cost") - built) > 1) | (F.abs(F.col("calculated_cost") - built - F.col("d")) > 1)), "E5", "variant_id", built)
+    served = segments.select("variant_id", F.col("end_node").alias("id"))
+    return e2.union(e5).union(broken(consumers.join(served, ["variant_id", "id"], "left_anti").join(lost, ["variant_id", "id"], "left_anti"), "E9"))
+
+
+def crossing_depths(segments: DataFrame, objects: DataFrame, rules: Rules, cell: float = 50.0) -> DataFrame:
+    """A segment does not pass the normal depth; G6: it clears what it crosses, over or under; G8: it has its cover under roads and tracks.
+
+    Depths between the ends are linear; objects as in crossings()."""
+    g4 = broken(segments.where((F.col("depth_start") - DEPTH["normal_m"]) * (F.col("depth_end") - DEPTH["normal_m"]) < -1e-6), "G4")
+    met = crossings(segments, objects, cell).join(segments.select("id", "pts", "depth_start", "depth_end", "length"), "id")
+    before = F.aggregate(F.sequence(F.lit(0), F.col("i")), F.lit(0.0), lambda a, j: a + F.when(j < F.col("i"), F.sqrt(geometry.square_distance(F.get("pts", j)["x"], F.get("pts", j)["y"], F.get("pts", j + 1)["x"], F.get("pts", j + 1)["y"]))).otherwise(0.0))
+    share = F.try_divide(before + F.col("to_start"), geometry.line_length(F.col("pts")))
+    top = F.col("depth_start") + share * (F.col("depth_end") - F.col("depth_start"))
+    height = rules.height(F.col("dn"))
+    kind = F.col("restriction_type")
+    free = F.lit(True)
+    for name, (level, own, gap) in DEPTH_CROSSINGS.items():
+        over, under = top + height <= F.lit(level - gap + DEPTH_TOLERANCE), top >= F.lit(level + (own or 0.5) + gap - DEPTH_TOLERANCE)
+        free = F.when(kind == name, over | under).otherwise(free)
+    cover = F.lit(None).cast("double")
+    for name, least in DEPTH_COVER.items():
+        cover = F.when(kind == name, F.lit(least)).otherwise(cover)
+    g6 = broken(met.where(~free), "G6", detail=F.col("object_id"))
+    return g4.union(g6).union(broken(met.where(top < cover - DEPTH_TOLERANCE), "G8", detail=F.col("object_id"))).distinct()
+
+
 def check(segments: DataFrame, nodes: DataFrame, rules: Rules, summary: DataFrame | None = None, obstacles: DataFrame | None = None, depth: bool = False) -> DataFrame:
     """All constraints that the given tables allow: code, id, detail."""
-    parts = [node_references(segments, nodes), ends_at_nodes(segments, nodes), turns(segments), special_is_straight(segments), diameters(segments, rules), flows(segments, nodes), runs(segments, rules), technical_nodes(segments, nodes), branching(segments, nodes, rules), chambers(segments, nodes, rules), lengths_and_costs(segments, rules), self_crossings(segments)]
+    parts = [node_references(segments, nodes), ends_at_nodes(segments, nodes), turns(segments), special_is_straight(segments), diameters(segments, rules), flows(segments, nodes), runs(segments, rules), technical_nodes(segments, nodes), branching(segments, nodes, rules), connected(segments, nodes), chain_diameters(segments, nodes), chambers(segments, nodes, rules), lengths_and_costs(segments, rules), self_crossings(segments)]
     if summary is not None:
         parts.append(summaries(segments, summary, rules))
     if obstacles is not None:

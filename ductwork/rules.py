@@ -140,6 +140,9 @@ class Rules:
     def width(self, dn: Column) -> Column:
         return self._first(lambda d: dn == d[0], lambda d: d[5])
 
+    def height(self, dn: Column) -> Column:
+        return self._first(lambda d: dn == d[0], lambda d: d[6])
+
     def longest_run(self, dn: Column) -> Column:
         return self._first(lambda d: dn == d[0], lambda d: d[2])
 

@@ -296,3 +296,74 @@ def test_locate_and_centroid(spark):
     ring = F.array(*[F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y")) for a, b in ((0, 0), (6, 0), (6, 2), (0, 2), (0, 0))])
     got = one(spark, *[geometry.locate(line, F.lit(s)) for s in (-1.0, 4.0, 15.0, 99.0)], geometry.centroid(ring))
     assert [tuple(p) for p in got] == [(0.0, 0.0), (4.0, 0.0), (10.0, 5.0), (10.0, 10.0), (3.0, 1.0)]
+
+
+def naive_diameters(edges):
+    """Leaves to root, step by step: (node, parent, flow, length) -> dn."""
+    table = [(d[0], d[1], d[2]) for d in R.diameters]
+    at = {n: next(i for i, d in enumerate(table) if f <= d[1]) for n, _, f, _ in edges}
+    kids = {}
+    for n, p, _, _ in edges:
+        kids.setdefault(p, []).append(n)
+    flow, length = {n: f for n, _, f, _ in edges}, {n: l for n, _, _, l in edges}
+
+    def run(n):
+        return length[n] + max((run(k) for k in kids.get(n, []) if at[k] == at[n]), default=0.0)
+
+    def order(n):
+        for k in kids.get(n, []):
+            yield from order(k)
+        yield n
+
+    roots = [n for n, p, _, _ in edges if p not in flow]
+    while True:
+        before = dict(at)
+        for root in roots:
+            for n in order(root):
+                at[n] = max([at[n], *(at[k] for k in kids.get(n, []))])
+                while run(n) > table[at[n]][2] + 1e-9:
+                    at[n] += 1
+        for n, p, f, _ in edges:
+            if p in flow and len(kids[p]) == 1 and abs(f - flow[p]) <= 1e-3:
+                at[n] = max(at[n], at[p])
+        if at == before:
+            return {n: table[i][0] for n, i in at.items()}
+
+
+def test_diameter_plan_against_naive(spark):
+    r = random.Random(5)
+    edges = []
+    for i in range(60):
+        edges.append([f"n{i}", f"n{(i - 1) // 2}" if r.random() < 0.5 and i > 1 else (f"n{i - 1}" if i else "tie"), 0.0, round(r.uniform(20, 160), 2)])
+    demand = {e[0]: r.choice([0.0, 0.0, 1.0, 3.0, 9.0]) for e in edges}
+    for e in edges:
+        n = e[0]
+        while n != "tie":
+            next(x for x in edges if x[0] == n)[2] += demand[e[0]]
+            n = next(x for x in edges if x[0] == n)[1]
+    edges = [tuple(e) for e in edges]
+    got = {x.node: x.dn for x in planning.plan_diameters(spark.createDataFrame(edges, "node string, parent string, flow double, length double"), R).collect()}
+    assert got == naive_diameters(edges)
+
+
+def test_more_constraints(spark):
+    nodes = [("t", "v", "existing", 0.0, 0.0, 200, None, None), ("c", "v", "chamber", 100.0, 0.0, 65, 3e6, None), ("o1", "v", "consumer", 100.0, 50.0, None, None, 3.0), ("o2", "v", "consumer", 150.0, 0.0, None, None, 3.0), ("x", "v", "chamber", 9.0, 9.0, 65, 3e6, None)]
+    n = spark.createDataFrame(nodes, NODE)
+    good = spark.createDataFrame([segment("s1", "t", "c", [(0, 0), (100, 0)], 6.0, 65), segment("s2", "c", "o1", [(100, 0), (100, 50)], 3.0, 50), segment("s3", "c", "o2", [(100, 0), (150, 0)], 3.0, 50)], SEGMENT)
+    loop = spark.createDataFrame([segment("l1", "p", "q", [(0, 0), (9, 9)], 1.0, 80), segment("l2", "q", "p", [(9, 9), (0, 0)], 1.0, 65)], SEGMENT)
+    assert {(r.code, r.id) for r in validate.connected(good.union(loop), n).collect()} == {("C9", "l1"), ("C9", "l2")}
+    assert {(r.code, r.id) for r in validate.degrees(good, n, R).collect()} == {("D10", "x")}
+    assert {(r.code, r.id) for r in validate.chain_diameters(loop, n).collect()} == {("C7", "l1"), ("C7", "l2")}
+    assert validate.least_diameters(good, R).collect() == [] and {r.id for r in validate.least_diameters(good.withColumn("dn", F.when(F.col("id") == "s2", 80).otherwise(F.col("dn"))), R).collect()} == {"s2"}
+    road = spark.createDataFrame([("r", "road", 120.0, -5.0, 121.0, 5.0), ("g", "gas_pipeline", 30.0, -5.0, 90.0, 4.0), ("w", "sewer", 98.0, 20.0, 102.0, 21.0)], "id string, restriction_type string, x1 double, y1 double, x2 double, y2 double")
+    found = {(r.code, r.id, r.detail) for r in validate.special_crossings(good, road, R).collect()}
+    assert found == {("B13", "s1", "g"), ("B13", "s3", "r"), ("B13", "s2", "w")}
+    near = spark.createDataFrame([("p", "power_cable", 20.0, 1.0, 60.0, 1.0)], road.schema)
+    assert validate.line_clearance(good.where("id = 's1'").withColumn("pts", F.expr("array(named_struct('x', 0D, 'y', 0D), named_struct('x', 40D, 'y', 0D), named_struct('x', 100D, 'y', 0D))")), near, R).first().code == "B10"
+    deep = {(r.code, r.id, r.detail) for r in validate.crossing_depths(good, road, R).collect()}
+    assert ("G6", "s1", "g") in deep and not any(c == "G8" for c, _, _ in deep)
+    summary = spark.createDataFrame([("v", 1, 1.0, 2.0, 200.0, 1.0, ["gone"])], "variant_id string, rank int, construction_cost double, calculated_cost double, new_length double, score double, unconnected_oks_ids array<string>")
+    consumers = spark.createDataFrame([("v", "o1", 3.0), ("v", "gone", 1.0), ("v", "lost", 1.0)], "variant_id string, id string, flow double")
+    assert {(r.code, r.id) for r in validate.totals(good, n, summary, consumers, R).collect()} == {("E5", "v"), ("E9", "lost")}
+    park = spark.createDataFrame([("park", "park", [[{"x": -900.0, "y": -900.0}, {"x": 900.0, "y": -900.0}, {"x": 900.0, "y": 900.0}, {"x": -900.0, "y": 900.0}, {"x": -900.0, "y": -900.0}]])], "id string, restriction_type string, rings array<array<struct<x:double,y:double>>>")
+    assert {(r.code, r.id) for r in validate.clearance(good, road.where("false"), R, areas=park).collect()} == {("B7", "s1"), ("B7", "s2"), ("B7", "s3")}
