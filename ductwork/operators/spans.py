@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ductwork.functions import geometry
+from ductwork.storage import stored
 
 
 def merge_spans(spans: DataFrame, keys: list[str], start: str, end: str, weight: str, gap: float = 1e-6) -> DataFrame:
@@ -82,3 +83,46 @@ def stations(points: DataFrame, keys: list[str], order_by: str, x: str, y: str)
     order = Window.partitionBy(*keys).orderBy(order_by)
     step = F.sqrt(geometry.square_distance(F.col(x), F.col(y), F.lag(x).over(order), F.lag(y).over(order)))
     return points.withColumn("__step", F.coalesce(step, F.lit(0.0))).withColumn("station", F.sum("__step").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__step")
+
+
+def cut(lines: DataFrame, spans: DataFrame, keys: list[str], start: str, end: str, weight: str, snap: float = 0.08, sliver: float = 0.2) -> DataFrame:
+    """Lines (keys, length) cut where covered spans begin and end: keys, at, until, weight (null where nothing covers), n.
+
+    Bounds within snap of a line's end move to it; uncovered pieces of at most sliver between covered ones take the greater weight
+    beside them; neighbours of equal weight become one piece. n numbers the pieces along the line from 1."""
+    inside = spans.join(lines.select(*keys, "length"), keys)
+    to_end = lambda c: F.when(c <= snap, F.lit(0.0)).when(c >= F.col("length") - snap, F.col("length")).otherwise(c)
+    snapped = inside.select(*keys, to_end(F.greatest(F.lit(0.0), F.col(start))).alias(start), to_end(F.least(F.col("length"), F.col(end))).alias(end), weight).where(F.col(end) > F.col(start))
+    covered = sweep(snapped, keys, start, end, weight).select(*keys, "at", "until", weight)
+    order = Window.partitionBy(*keys).orderBy("at")
+    bounds = covered.select(*keys, "at", "until").union(lines.select(*keys, F.lit(0.0).alias("at"), F.lit(0.0).alias("until"))).union(lines.select(*keys, F.col("length").alias("at"), F.col("length").alias("until")))
+    reach = F.max("until").over(Window.partitionBy(*keys).orderBy("at", "until").rowsBetween(Window.unboundedPreceding, -1))
+    gaps = bounds.withColumn("__to", F.col("at")).withColumn("__from", reach).where("__to > __from").select(*keys, F.col("__from").alias("at"), F.col("__to").alias("until"), F.lit(None).cast(dict(covered.dtypes)[weight]).alias(weight))
+    pieces = covered.unionByName(gaps)
+    thin = F.col(weight).isNull() & (F.col("until") - F.col("at") <= sliver)
+    beside = F.when(F.lag(weight).over(order).isNotNull() & F.lead(weight).over(order).isNotNull(), F.greatest(F.lag(weight).over(order), F.lead(weight).over(order)))
+    pieces = pieces.withColumn("__w", F.when(thin, beside).otherwise(F.col(weight)))
+    fresh = F.when(F.col("__w").eqNullSafe(F.lag("__w").over(order)) & (F.row_number().over(order) > 1), 0).otherwise(1)
+    marked = pieces.withColumn("__fresh", fresh).withColumn("n", F.sum("__fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy(*keys, "n").agg(F.min("at").alias("at"), F.max("until").alias("until"), F.max("__w").alias(weight))
+
+
+def spill(spans: DataFrame, edges: DataFrame, margin: float, rounds: int = 64) -> DataFrame:
+    """Spans (edge, lo, hi, weight) grown by margin at both ends along the network: what runs past an edge's end goes on into every edge at that node.
+
+    edges: edge, a, b, length (a at station 0, b at length). Returns edge, lo, hi, weight, cut to each edge."""
+    grown = spans.join(edges, "edge").select("edge", "a", "b", "length", (F.col("lo") - margin).alias("lo"), (F.col("hi") + margin).alias("hi"), "weight")
+    own = lambda df: df.select("edge", F.greatest(F.lit(0.0), F.col("lo")).alias("lo"), F.least("length", F.col("hi")).alias("hi"), "weight")
+    found = stored(own(grown))
+    past = lambda df: df.where("lo < 0").select("edge", F.col("a").alias("node"), (-F.col("lo")).alias("left"), "weight").union(df.where("hi > length").select("edge", F.col("b"), F.col("hi") - F.col("length"), "weight"))
+    front = stored(past(grown).groupBy("edge", "node", "weight").agg(F.max("left").alias("left")))
+    at = edges.select("edge", F.col("a").alias("node"), "a", "b", "length", F.lit(True).alias("at_a")).union(edges.select("edge", F.col("b"), "a", "b", "length", F.lit(False)))
+    for _ in range(rounds):
+        if not front.limit(1).count():
+            return found
+        into = at.join(front.withColumnRenamed("edge", "from_edge"), "node").where("edge <> from_edge")
+        into = into.select("edge", "a", "b", "length", F.when(F.col("at_a"), 0.0).otherwise(F.col("length") - F.col("left")).alias("lo"), F.when(F.col("at_a"), F.col("left")).otherwise(F.col("length")).alias("hi"), "weight")
+        into = stored(into)
+        found = stored(found.unionByName(own(into)))
+        front = stored(past(into).groupBy("edge", "node", "weight").agg(F.max("left").alias("left")))
+    raise RuntimeError(f"a margin of {margin} m passes over more than {rounds} edges")
