@@ -3,6 +3,10 @@
 Each stage works on all its predecessor kept and returns the columns of documents; the last one adds copy, as a document stands
 in the mix once per copy it takes. Stages are written as Parquet in the shared checkpoint folder and read again, so a lost
 executor never costs more than a stage.
+
+Defined cases, in every stage: a null text counts as empty (it is never toxic by its words, never a near copy, never contaminated,
+and stays null); a null doc_id or source keeps its row; rows that repeat are near copies of each other, so one stays; an empty
+table gives an empty table; columns besides those of documents pass through all stages, whatever their names.
 """
 
 from __future__ import annotations
