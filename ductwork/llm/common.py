@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ductwork.storage import durable, shared_folder, stored  # noqa: F401  (shared with the core)
+from ductwork.operators.ranks import ranked  # noqa: F401  (shared with the core)
+from ductwork.storage import durable, shared_folder  # noqa: F401
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word up to white space.
@@ -30,20 +31,6 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def ranked(df: DataFrame, order: list[Column], partitions: int | None = None) -> DataFrame:
-    """Adds __rank, the row's place (from 0) in the global order, without a single-task window.
-
-    A range exchange sorts the rows; each partition numbers its own; the partitions' sizes, one number each, are summed up.
-    The sorted rows are kept in the checkpoint folder, as range bounds come from a sample and mustn't be drawn twice."""
-    spark = df.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = durable(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
-    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = rows.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.select("__part", F.coalesce(F.expr("sum(__n) over (order by __part rows between unbounded preceding and 1 preceding)"), F.lit(0)).alias("__before"))
-    return rows.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn("__rank", F.col("__before") + place).drop("__part", "__at", "__before")
-
-
 def fingerprint(text: Column) -> Column:
     """Two independent 64-bit hashes of a text and its length: what stands for the text where a verdict is carried back to it."""
     return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("second"), text).alias("b"), F.length(text).alias("n"))

@@ -67,3 +67,18 @@ def test_pipeline(spark, tmp_path):
     assert sorted((x.doc_id, x.copy) for x in out) == sorted((i, c) for i, n in copies.items() for c in range(1, n + 1))
     for s, w in want.items():
         assert abs(sum(size[x.doc_id] for x in out if x.source == s) - w) <= max(size.values())
+
+
+def test_stages_on_empty_tables_and_odd_columns(spark, tmp_path):
+    """Every stage takes an empty table, and nulls, repeats and columns of the caller's pass through."""
+    folder = str(tmp_path)
+    some = [(1, "a b c d e", "en", None, 9, "x"), (None, None, None, None, None, None), (1, "a b c d e", "en", None, 9, "x"), (3, "", "en", "s", 0, "y")]
+    docs = spark.createDataFrame(some, DOCS + ", score string").withColumnRenamed("score", "copies")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, docs.where("false"), folder).count() == 0, name
+        if k < 4:
+            out = stage(spark, docs, folder)
+            assert out.columns == docs.columns and out.count() == (3 if k == 1 else 4), name
