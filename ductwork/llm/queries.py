@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ductwork.llm import decontamination, licenses, mixing, pii, quality, secrets, setjoin, toxicity, urls, vectors
+from ductwork.llm import chat, decontamination, licenses, merkle, mixing, pii, quality, runs, secrets, setjoin, toxicity, urls, vectors
 from ductwork.llm.common import table
 
 
@@ -49,6 +49,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.scan(table(spark, sf_dir, "documents"), change=runs.planted))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(merkle.tampered(table(spark, sf_dir, "documents")))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.format_chats(chat.with_probe(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -60,6 +72,9 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_toxicity": op9_toxicity,
     "op10_secrets": op10_secrets,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_chat_format": op13_chat_format,
 }
 
 ORACLES = {
@@ -67,4 +82,6 @@ ORACLES = {
     "op4_top_k": vectors.ORACLE,
     "op5_decontamination": decontamination.ORACLE,
     "op6_mixing": mixing.ORACLE,
+    "op12_merkle_manifest": merkle.ORACLE,
+    "op13_chat_format": chat.ORACLE,
 }
