@@ -35,6 +35,30 @@ def segment_segment_square(a: tuple[Column, ...], b: tuple[Column, ...]) -> Colu
     return F.when(segments_cross(a, b), F.lit(0.0)).otherwise(ends)
 
 
+def span_square(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """length^2 of a segment to divide by: 1 for one of no length, whose products are 0 anyway. A join of segments takes it once a side."""
+    whole = square_distance(x1, y1, x2, y2)
+    return F.when(whole > 0, whole).otherwise(F.lit(1.0))
+
+
+def point_reach_square(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column, whole: Column) -> Column:
+    """point_segment_square() with the segment's span_square(). Of columns that can't be null it generates little code."""
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / whole))
+    return square_distance(px, py, ax + t * (bx - ax), ay + t * (by - ay))
+
+
+def segment_reach_square(a: tuple[Column, ...], b: tuple[Column, ...], whole_a: Column, whole_b: Column) -> Column:
+    """segment_segment_square() with the segments' span_square()s."""
+    ends = F.least(point_reach_square(a[0], a[1], *b, whole_b), point_reach_square(a[2], a[3], *b, whole_b), point_reach_square(b[0], b[1], *a, whole_a), point_reach_square(b[2], b[3], *a, whole_a))
+    return F.when(segments_cross(a, b), F.lit(0.0)).otherwise(ends)
+
+
+def boxes_within(a: tuple[Column, ...], b: tuple[Column, ...], radius: float) -> Column:
+    """Whether the boxes of two segments are at most radius apart on either axis: a cheap test before a distance."""
+    axis = lambda i: (F.greatest(a[i], a[i + 2]) + radius >= F.least(b[i], b[i + 2])) & (F.greatest(b[i], b[i + 2]) + radius >= F.least(a[i], a[i + 2]))
+    return axis(0) & axis(1)
+
+
 def acute_angle(ux: Column, uy: Column, vx: Column, vy: Column) -> Column:
     """The acute angle of two directions, in degrees."""
     return F.degrees(F.atan2(F.abs(ux * vy - uy * vx), F.abs(ux * vx + uy * vy)))

@@ -59,7 +59,7 @@ def nearest_segments(points: DataFrame, segments: DataFrame, k: int, first_radiu
 
     def near(rest: DataFrame, radius: float) -> DataFrame:
         dots = rest.select("id", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-        return once(segments_near(dots, b, radius, radius).select("left_id", "right_id", "d2", piece))
+        return once(segments_near(dots, b, radius, radius, dots=True).select("left_id", "right_id", "d2", piece))
 
     def far(rest: DataFrame) -> DataFrame:
         all_ = spread_pairs(rest, b.select(F.col("id").alias("right_id"), *[F.col(c).alias(f"r_{c}") for c in ("x1", "y1", "x2", "y2")]))
@@ -132,20 +132,27 @@ def cells_of_line(x1: Column, y1: Column, x2: Column, y2: Column, grow: float, s
     return F.flatten(F.transform(F.sequence(cell(low - grow, size), cell(high + grow, size)), column))
 
 
-def segments_near(left: DataFrame, right: DataFrame, radius: float, size: float) -> DataFrame:
-    """Pairs (left_id, right_id, d2) of segments at most radius apart: id, x1, y1, x2, y2 on both sides.
+def segments_near(left: DataFrame, right: DataFrame, radius: float, size: float, dots: bool = False) -> DataFrame:
+    """Pairs (left_id, right_id, d2) of segments at most radius apart: id, x1, y1, x2, y2 on both sides. dots: the left ones are points (x1, y1 repeated).
 
     Both go to the cells that they meet, the left one widened by radius, so a long slanting line costs its length and not its
-    box. Pairs that share several cells are kept once; so are rows that repeat in all of id and place."""
+    box. Pairs in a cell are first judged by their boxes, in the join; the distance follows in a step of its own, which keeps the
+    optimizer from copying it into the join's condition: as one, they outgrow the methods that the JVM compiles. Pairs that share
+    several cells are kept once; so are rows that repeat in all of id and place."""
     ends = ("x1", "y1", "x2", "y2")
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def spread(df: DataFrame, name: str, prefix: str, grow: float) -> DataFrame:
-        rows = df.where(" and ".join(f"{c} is not null" for c in ends)).select(F.col("id").alias(name), *[F.col(c).alias(prefix + c) for c in ends])
-        return rows.withColumn("__cell", F.explode(cells_of_line(*[F.col(prefix + c).cast("double") for c in ends], grow, size)))
-
-    d2 = geometry.segment_segment_square(tuple(map(F.col, ends)), tuple(F.col(f"r_{c}") for c in ends))
-    near = spread(left, "left_id", "", radius + 1e-6).join(spread(right, "right_id", "r_", 1e-6), "__cell").withColumn("d2", d2).where(F.col("d2") <= radius * radius)
-    return near.drop("__cell").dropDuplicates(["left_id", "right_id", *ends, *[f"r_{c}" for c in ends]])
+        rows = df.where(" and ".join(f"{c} is not null" for c in ends)).select(F.col("id").alias(name), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(prefix + c) for c in ends])
+        here = tuple(F.col(prefix + c) for c in ends)
+        rows = rows.withColumn(f"{prefix}__whole", geometry.span_square(*here)).withColumn("__cell", F.explode(cells_of_line(*here, grow, size)))
+        return rows.select("*", "__cell.cx", "__cell.cy").drop("__cell").repartition(parts, "cx", "cy")  # few rows may make many pairs
+
+    a, b = tuple(map(F.col, ends)), tuple(F.col(f"r_{c}") for c in ends)
+    pairs = spread(left, "left_id", "", radius + 1e-6).join(spread(right, "right_id", "r_", 1e-6), ["cx", "cy"]).where(geometry.boxes_within(a, b, radius))
+    square = geometry.point_reach_square(a[0], a[1], *b, F.col("r___whole")) if dots else geometry.segment_reach_square(a, b, F.col("__whole"), F.col("r___whole"))
+    near = pairs.select("left_id", *ends, "right_id", *[f"r_{c}" for c in ends], F.explode(F.array(square)).alias("d2")).where(F.col("d2") <= radius * radius)
+    return near.dropDuplicates(["left_id", "right_id", *ends, *[f"r_{c}" for c in ends]])
 
 
 def coincident(points: DataFrame, scale: int = 100) -> DataFrame:

@@ -193,7 +193,7 @@ def inferred_chambers(chambers: DataFrame, segments: DataFrame) -> DataFrame:
     """Chambers without a diameter take the largest of the pipes within JOINT; those that none touches go."""
     dots = chambers.where("dn is null").select("id", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     lines = pieces(segments).select(F.struct("id", "dn").alias("id"), "x1", "y1", "x2", "y2")
-    most = spatial.segments_near(dots, lines, JOINT, 50.0).groupBy(F.col("left_id").alias("id")).agg(F.max("right_id.dn").alias("near_dn"))
+    most = spatial.segments_near(dots, lines, JOINT, 50.0, dots=True).groupBy(F.col("left_id").alias("id")).agg(F.max("right_id.dn").alias("near_dn"))
     return chambers.join(most, "id", "left").select("id", "x", "y", F.coalesce("dn", "near_dn").alias("dn"), "upstream_id").where("dn is not null")
 
 
@@ -203,7 +203,7 @@ def assign_buildings(points: DataFrame, buildings: DataFrame) -> DataFrame:
     inside = spatial.points_in_polygons(loose, buildings.select(F.struct("ord", "oks_id").alias("id"), "rings"), 50.0).groupBy(F.col("point_id").alias("cp_id")).agg(F.min("polygon_id").alias("b")).select("cp_id", F.col("b.oks_id").alias("found"))
     dots = loose.join(inside.select(F.col("cp_id").alias("id")), "id", "left_anti").select("id", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     walls = edges_of(buildings.select("ord", "oks_id", F.col("rings").alias("parts")), ["ord", "oks_id"]).select(F.struct("ord", "oks_id").alias("id"), "x1", "y1", "x2", "y2")
-    at_wall = spatial.segments_near(dots, walls, WALL, 50.0).groupBy(F.col("left_id").alias("cp_id")).agg(F.min(F.struct("d2", "right_id")).alias("m")).select("cp_id", F.col("m.right_id.oks_id").alias("found"))
+    at_wall = spatial.segments_near(dots, walls, WALL, 50.0, dots=True).groupBy(F.col("left_id").alias("cp_id")).agg(F.min(F.struct("d2", "right_id")).alias("m")).select("cp_id", F.col("m.right_id.oks_id").alias("found"))
     named = points.join(inside.unionByName(at_wall), "cp_id", "left").withColumn("oks_id", F.coalesce("oks_id", "found")).drop("found")
     return named.join(buildings.select("oks_id", "flow_tph"), "oks_id", "left").select("cp_id", "x", "y", "oks_id", F.coalesce("own_flow", "flow_tph").alias("flow_tph"))
 
@@ -224,11 +224,11 @@ def orient(sources: DataFrame, segments: DataFrame, chambers: DataFrame | None =
     by_end = durable(joints.groupBy(F.col("at.id").alias("a"), "b").agg(F.min("chamber").alias("chamber")))
     dots = lambda p: p.select("id", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     lines = pieces(segments).select("id", "x1", "y1", "x2", "y2")
-    touch = spatial.segments_near(dots(ends), lines, JOINT, 50.0).where("left_id.id <> right_id").select(F.col("left_id.id").alias("a"), F.col("right_id").alias("b")).distinct()
+    touch = spatial.segments_near(dots(ends), lines, JOINT, 50.0, dots=True).where("left_id.id <> right_id").select(F.col("left_id.id").alias("a"), F.col("right_id").alias("b")).distinct()
     touch = touch.union(touch.select("b", "a")).distinct().join(by_end, ["a", "b"], "left_anti").withColumn("chamber", F.lit(None).cast("string"))
     by_tee = durable(touch)
     first = spatial.within_distance(sources, ends, JOINT).select(F.col("right_id.id").alias("id"), F.col("left_id").alias("upstream"))
-    middle = spatial.segments_near(dots(sources), lines, JOINT, 50.0).select(F.col("right_id").alias("id"), F.col("left_id").alias("upstream"))
+    middle = spatial.segments_near(dots(sources), lines, JOINT, 50.0, dots=True).select(F.col("right_id").alias("id"), F.col("left_id").alias("upstream"))
     start = first.union(middle).groupBy("id").agg(F.min("upstream").alias("upstream"))
     reached = stored(start.withColumn("step", F.lit(0)))
     front, tees = reached, False
