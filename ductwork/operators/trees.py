@@ -23,7 +23,7 @@ def subtree_sums(edges: DataFrame, rounds: int = 200) -> DataFrame:
             return state.select("node", "total")
         gained = state.where("up is not null").groupBy(F.col("up").alias("node")).agg(F.sum("total").alias("more"))
         hop = state.select(F.col("node").alias("up"), F.col("up").alias("next"))
-        state = stored(state.join(gained, "node", "left").join(hop, "up", "left").select("node", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0))).alias("total")))
+        state = stored(state.join(gained, "node", "left").join(hop, "up", "left").select("node", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0))).alias("total")), state)
     raise ValueError("the parents form a cycle")
 
 
@@ -46,7 +46,7 @@ def below(edges: DataFrame, start: DataFrame) -> DataFrame:
     steps, size = 1, state.count()
     while steps < 2 * size and state.where("not hit and up is not null").limit(1).count():
         hop = state.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("hit").alias("above"))
-        state = stored(state.join(hop, "up", "left").select("node", F.when(~F.col("hit"), F.col("next")).alias("up"), (F.col("hit") | F.coalesce("above", F.lit(False))).alias("hit")))
+        state = stored(state.join(hop, "up", "left").select("node", F.when(~F.col("hit"), F.col("next")).alias("up"), (F.col("hit") | F.coalesce("above", F.lit(False))).alias("hit")), state)
         steps *= 2
     return state.where("hit").select("node")
 
@@ -59,7 +59,7 @@ def cycle_nodes(edges: DataFrame) -> DataFrame:
     steps, size = 1, state.count()
     while steps < size and state.limit(1).count():
         hop = state.select(F.col("node").alias("up"), F.col("up").alias("next"))
-        state, steps = stored(state.join(hop, "up").select("node", F.col("next").alias("up"))), 2 * steps
+        state, steps = stored(state.join(hop, "up").select("node", F.col("next").alias("up")), state), 2 * steps
     on = stored(state.select(F.col("up").alias("node")).distinct())
     links = edges.join(on, "node").select(F.col("node").alias("a"), F.col("parent").alias("b"))
     loops = links.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("cycle"))
@@ -77,7 +77,7 @@ def runs_to_root(edges: DataFrame, rounds: int = 500) -> DataFrame:
         if state.where("up is not null").limit(1).count() == 0:
             return state.select("node", "run")
         hop = state.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("run").alias("more"))
-        state = stored(state.join(hop, "up", "left").select("node", F.col("next").alias("up"), (F.col("run") + F.coalesce("more", F.lit(0))).alias("run")))
+        state = stored(state.join(hop, "up", "left").select("node", F.col("next").alias("up"), (F.col("run") + F.coalesce("more", F.lit(0))).alias("run")), state)
     raise ValueError("the parents form a cycle")
 
 
@@ -114,13 +114,22 @@ def local_stars(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, edges.schema)
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+#: Edges that one task turns into stars at once: 16 bytes each, about 100 MB with all that the kernel holds.
+ONE_TASK = 1 << 20
+
+
+def components(edges: DataFrame, rounds: int = 100, one_task: int = ONE_TASK) -> DataFrame:
     """node, comp (the smallest node reachable) for every node of the edges (a, b).
 
-    Each partition first reduces its edges to stars. Then, by alternating stars, every node hands its larger neighbours, then its smaller ones, on to the smallest node it knows, until
+    Each partition first reduces its edges to stars. If few are left (counted), one task makes stars of them, which is the result. Else, by
+    alternating stars, every node hands its larger neighbours, then its smaller ones, on to the smallest node it knows, until
     each component is one star around its smallest node. Paths shrink by halves, edges never grow in number, and a hub's
-    smallest neighbour is found by pre-aggregation. Every round is kept in the shared folder."""
-    star = stored(local_stars(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo")).distinct())
+    smallest neighbour is found by pre-aggregation. Every round is kept in the shared folder until the next one stands."""
+    done = lambda star: star.select(F.col("hi").alias("node"), F.col("lo").alias("comp")).union(star.select("lo", "lo").distinct())
+    star = stored(local_stars(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo")))
+    if star.count() <= one_task:
+        return done(stored(local_stars(star.coalesce(1)), star))
+    star = stored(star.distinct(), star)
     seen = fingerprint(star)
     for _ in range(rounds):
         both = star.union(star.select("lo", "hi")).toDF("node", "other")
@@ -128,10 +137,10 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         large = both.where("other > node").join(least, "node").select(F.col("other").alias("hi"), F.col("least").alias("lo")).distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("least"))
         joined = large.join(least, "hi")
-        star = stored(joined.select("hi", F.col("least").alias("lo")).union(joined.select("lo", "least").where("lo <> least")).distinct())
+        star = stored(joined.select("hi", F.col("least").alias("lo")).union(joined.select("lo", "least").where("lo <> least")).distinct(), star)
         before, seen = seen, fingerprint(star)
         if seen == before:
-            return star.select(F.col("hi").alias("node"), F.col("lo").alias("comp")).union(star.select("lo", "lo").distinct())
+            return done(star)
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 

@@ -25,10 +25,23 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     """The rows, written to the shared folder as Parquet and read back. Unlike a checkpoint's, the new plan's size is the files';
-    in a loop of joins an estimate would multiply at every round."""
+    in a loop of joins an estimate would multiply at every round.
+
+    instead_of: what stored() gave in the round before. Its files are deleted once the new ones stand, so a loop keeps one round on disk."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if instead_of is not None:
+        deleted(spark, instead_of.__dict__.get("stored_at"))
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["stored_at"] = path
+    return out
+
+
+def deleted(spark: SparkSession, path: str | None) -> None:
+    """Deletes a folder, in whatever store it lies."""
+    if path:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
