@@ -1,15 +1,17 @@
 """The network engine: literal goldens, naive twins, and constraints on planned results."""
 
+import itertools
 import json
 import math
 import random
+import time
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from ductwork.functions import geometry
-from ductwork.operators import costing, depth, planning, spans, spatial, trees, validate
+from ductwork.operators import costing, depth, planning, routing, spans, spatial, trees, validate
 from ductwork.rules import Rules, half_up
 from ductwork.sources import features
 from ductwork.streaming import inbox
@@ -141,6 +143,26 @@ def test_constraints(spark):
     assert {(r.code, r.id, r.detail) for r in validate.clearance(spark.createDataFrame(good, SEGMENT), walls, R).collect()} == {("B7", "s1", "w"), ("B3", "s3", "x")}
 
 
+ZONE = "id int, ring array<struct<x:double,y:double>>, rule string, clearance double, k double, margin double, min_angle double"
+
+
+def box_ring(x1, y1, x2, y2):
+    return [(float(x), float(y)) for x, y in ((x1, y1), (x2, y1), (x2, y2), (x1, y2), (x1, y1))]
+
+
+def crosses_box(line, box):
+    """Whether a segment comes into an axis-parallel box, by clipping its parameter."""
+    (x1, y1, x2, y2), lo, hi = line, 0.0, 1.0
+    for p, d, a, b in ((x1, x2 - x1, box[0], box[2]), (y1, y2 - y1, box[1], box[3])):
+        if abs(d) < 1e-12:
+            if not a <= p <= b:
+                return False
+            continue
+        t = sorted(((a - p) / d, (b - p) / d))
+        lo, hi = max(lo, t[0]), min(hi, t[1])
+    return lo < hi
+
+
 def test_planned_tree_is_legal(spark):
     points = spark.createDataFrame([(i, float(x), float(y), 2.0) for i, (x, y) in enumerate([(100, 60), (140, 60), (300, 40), (320, 90)])], "id int, x double, y double, flow double")
     pipes = spark.createDataFrame([("p", 200, 0.0, 0.0, 400.0, 0.0)], "id string, dn int, x1 double, y1 double, x2 double, y2 double")
@@ -148,12 +170,56 @@ def test_planned_tree_is_legal(spark):
     cand = planning.tie_candidates(points, pipes, chambers, R)
     best = {r.point_id: (r.object_id, r.x, r.y) for r in cand.where("rank = 1").collect()}
     assert best[0] == ("p", 100.0, 0.0)
-    wall = spark.createDataFrame([(120.0, 0.0, 120.0, 80.0)], "x1 double, y1 double, x2 double, y2 double")
-    edges = planning.plan_groups(points, cand, wall, planning.groups(points))
+    zones = spark.createDataFrame([(1, box_ring(118, 10, 122, 80), "forbid", 1.0, None, None, None), (2, box_ring(200, 20, 240, 60), "special", 1.0, 1.6, 3.0, 30.0), (3, box_ring(318, 88, 325, 95), "forbid", 1.0, None, None, None)], ZONE)
+    edges, left = planning.plan_trees(points, cand, zones, planning.groups(points), R)
     rows = edges.collect()
-    assert not any((r.x1 - 120) * (r.x2 - 120) < 0 and min(r.y1, r.y2) < 80 for r in rows) and len({r.to_id for r in rows}) == len(rows) >= 2
-    sized = planning.sized_segments(edges, points.select(F.col("id").cast("string").alias("to_id"), "flow"), R).collect()
-    assert all(s.dn >= 50 and s.flow >= 2.0 for s in sized)
+    assert [(r.id, r.reason) for r in left.collect()] == [(3, "inside_forbidden_zone")]
+    ends = {r.to_id for r in rows}
+    assert {"c:0", "c:1", "c:2"} <= ends and len(ends) == len(rows)
+    for r in rows:
+        for a, b in itertools.pairwise(r.pts):
+            assert not crosses_box((a.x, a.y, b.x, b.y), (117.05, 9.05, 122.95, 80.95))
+    sized = planning.sized_segments(edges, points.select(F.concat(F.lit("c:"), "id").alias("to_id"), "flow"), R).collect()
+    assert all(s.dn >= 50 and s.flow >= 2.0 and s.weight >= s.length - 1e-6 for s in sized)
+    assert sum(s.flow for s in sized if s.from_id.startswith("t:")) == 6.0
+
+
+def test_everyone_is_served_or_told_why(spark):
+    """Many consumers among zones: the plan keeps the constraints, and each consumer is in it or has a reason."""
+    r = random.Random(8)
+    spots = [(i, r.uniform(0, 900), r.uniform(0, 900), r.choice([1.0, 2.5, 6.0])) for i in range(70)] + [(70, 300.0, 300.0, 1e9), (71, 5000.0, 5000.0, 1.0), (72, None, 3.0, 1.0), (73, 450.5, 450.5, 1.0)]
+    spots += [(74, spots[0][1], spots[0][2], 1.0)]
+    points = spark.createDataFrame(spots, "id int, x double, y double, flow double")
+    pipes = spark.createDataFrame([("p", 300, 0.0, -40.0, 900.0, -40.0), ("q", 300, 0.0, 940.0, 900.0, 940.0)], "id string, dn int, x1 double, y1 double, x2 double, y2 double")
+    chambers = spark.createDataFrame([("c", 450.0, -40.0, 300)], "id string, x double, y double, dn int")
+    boxes = [(i, x, y, x + r.uniform(10, 60), y + r.uniform(10, 60), "forbid" if i % 2 else "special") for i, x, y in ((i, r.uniform(0, 850), r.uniform(0, 850)) for i in range(25))] + [(99, 448.0, 448.0, 453.0, 453.0, "forbid")]
+    zones = spark.createDataFrame([(i, box_ring(*b), kind, 1.0, *((None,) * 3 if kind == "forbid" else (1.6, 3.0, 30.0))) for i, *b, kind in boxes], ZONE)
+    placed = points.where("x is not null")
+    cand = planning.tie_candidates(placed, pipes, chambers, R)
+    edges, left = planning.plan_trees(points, cand, zones, planning.groups(placed), R)
+    rows, out = edges.collect(), {x.id: x.reason for x in left.collect()}
+    served = {int(e.to_id[2:]) for e in rows if e.to_id.startswith("c:")}
+    assert served | set(out) == set(range(75)) and not served & set(out)
+    assert out[70] == "flow_exceeds_capacity" and out[72] == "no_connection_point" and out[73] == "inside_forbidden_zone" and out[71] in ("no_route", "enclosed") and len(served) > 40
+    sized = planning.sized_segments(edges, points.select(F.concat(F.lit("c:"), "id").alias("to_id"), "flow"), R)
+    key = lambda c: F.concat("group_id", F.lit("/"), c)
+    segments = sized.select(
+        key("to_id").alias("id"), F.lit("v").alias("variant_id"), "pts", key("from_id").alias("start_node"), key("to_id").alias("end_node"), "flow", "dn", "length", F.lit("channel").alias("laying"), "k", "cost",
+        F.lit(1.0).alias("depth_start"), F.lit(1.0).alias("depth_end"),
+    ).withColumn("length", half_up(F.col("length"), 2))
+    point = lambda at: F.element_at("pts", at)
+    ends = segments.select(F.col("start_node").alias("id"), point(1).alias("p")).union(segments.select("end_node", point(-1))).dropDuplicates(["id"])
+    kind = F.when(F.col("id").contains("/t:"), "existing").when(F.col("id").contains("/c:"), "consumer").otherwise("chamber")
+    demand = points.select(F.concat(F.lit("c:"), "id").alias("c"), F.col("flow").alias("demand"))
+    nodes = ends.select("id", F.lit("v").alias("variant_id"), kind.alias("kind"), F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.substring_index("id", "/", -1).alias("c")).join(demand, "c", "left").drop("c")
+    walls = routing.zone_edges(zones.where("rule = 'forbid'"))
+    near = spatial.segments_near(segments.select("id", F.posexplode("pts").alias("i", "a"), "pts").withColumn("b", F.get("pts", F.col("i") + 1)).where("b is not null").select("id", F.col("a.x").alias("x1"), F.col("a.y").alias("y1"), F.col("b.x").alias("x2"), F.col("b.y").alias("y2")), walls, 0.985, 50.0)
+    assert near.count() == 0
+    checks = [validate.node_references(segments, nodes), validate.ends_at_nodes(segments, nodes), validate.diameters(segments, R), validate.flows(segments, nodes), validate.runs(segments, R), validate.connected(segments, nodes), validate.least_diameters(segments, R)]
+    found = [x for c in checks for x in c.collect()]
+    assert found == []
+    assert [x for x in validate.turns(segments).collect() if x.code == "B1"] == []
+    assert [x for x in validate.degrees(segments, nodes, R).collect() if x.code == "D4"] == []
 
 
 def test_depth_profile():
@@ -344,6 +410,20 @@ def test_diameter_plan_against_naive(spark):
     edges = [tuple(e) for e in edges]
     got = {x.node: x.dn for x in planning.plan_diameters(spark.createDataFrame(edges, "node string, parent string, flow double, length double"), R).collect()}
     assert got == naive_diameters(edges)
+    large = planning.plan_diameters(spark.createDataFrame(edges, "node string, parent string, flow double, length double"), R, most=10)
+    assert {x.node: x.dn for x in large.collect()} == got
+
+
+def test_diameters_of_a_long_chain():
+    """10,000 pipes of one chain, the flow falling along it: every run within its diameter's limit, in one pass or two."""
+    n, table = 10_000, [(d[0], d[1], float(d[2])) for d in R.diameters]
+    began = time.time()
+    at = planning.tree_diameters(list(range(n)), [k - 1 for k in range(n)], [3.0 + (n - k) * 1e-2 for k in range(n)], [7.0] * n, table)
+    assert time.time() - began < 10 and at == sorted(at, reverse=True)
+    run = {}
+    for k in reversed(at):
+        run[k] = run.get(k, 0.0) + 7.0
+    assert all(k == len(table) or length <= table[k][2] + 1e-9 for k, length in run.items())
 
 
 def test_more_constraints(spark):
