@@ -498,20 +498,3 @@ def tie_in_pipes(spark, sf_dir):
     """The three nearest pipes of each consumer, by distance to the pipe's line, however far."""
     near = spatial.nearest_segments(points(spark, sf_dir, "customer", "c_custkey"), chain(points(spark, sf_dir, "supplier", "s_suppkey")), 3, 500.0)
     return near.select(F.col("left_id").alias("point_id"), F.col("right_id").alias("object_id"), half_up(F.sqrt("d2"), 2).alias("distance"))
-
-
-def planned_network(spark, sf_dir):
-    """New trees for groups of customers near the suppliers' pipes: tie candidates, grouping, one greedy tree per group, sizes and prices.
-
-    The search has no SQL form; tests check it with the constraints."""
-    cu = points(spark, sf_dir, "customer", "c_custkey").withColumn("flow", F.lit(2.5))
-    su = points(spark, sf_dir, "supplier", "s_suppkey")
-    pipes_ = chain(su).withColumn("dn", RULES.snap_up(F.lit(300)))
-    cand = durable(planning.tie_candidates(cu, pipes_, su.withColumn("dn", F.lit(300)), RULES, first_radius=512.0))
-    grouped = durable(planning.groups(cu))
-    walls = part_boxes(spark, sf_dir).where("id % 5 = 0").select(F.explode(F.array(*[F.struct(F.col(a).alias("x1"), F.col(b).alias("y1"), F.col(c).alias("x2"), F.col(d).alias("y2")) for a, b, c, d in (("x1", "y1", "x2", "y1"), ("x2", "y1", "x2", "y2"), ("x2", "y2", "x1", "y2"), ("x1", "y2", "x1", "y1"))])).alias("e")).select("e.*")
-    edges = durable(planning.plan_groups(cu, cand, walls, grouped))
-    return planning.sized_segments(edges, cu.select(F.col("id").cast("string").alias("to_id"), "flow"), RULES).select("group_id", "from_id", "to_id", "flow", "dn", half_up(F.col("length"), 2).alias("length"), "cost")
-
-
-

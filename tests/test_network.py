@@ -184,6 +184,16 @@ def test_planned_tree_is_legal(spark):
     assert sum(s.flow for s in sized if s.from_id.startswith("t:")) == 6.0
 
 
+def test_groups_are_split_alike_in_tasks_and_by_levels(spark):
+    r = random.Random(6)
+    points = spark.createDataFrame([(i, r.uniform(0, 2000), float(r.randrange(0, 500, 50))) for i in range(300)] + [(1000, 9000.0, 0.0)], "id long, x double, y double")
+    whole = lambda **k: {x.point_id: x.group_id for x in planning.groups(points, **k).collect()}
+    one = whole()
+    assert one == whole(one_task=1) and len(one) == 301
+    sizes = pd.Series(one).value_counts()
+    assert sizes.max() <= 16 and sizes.min() >= 1
+
+
 def test_everyone_is_served_or_told_why(spark):
     """Many consumers among zones: the plan keeps the constraints, and each consumer is in it or has a reason."""
     r = random.Random(8)
