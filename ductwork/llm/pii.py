@@ -6,9 +6,10 @@ format and context features judge the numbers that remain: telephone numbers wit
 
 The trees learn from disguises: checked telephone and card numbers of the corpus, in their places, with the plus or the country
 dropped and the separators changed, against numbers that are known to be something else (unbroken runs, dates and years, numbers called order or
-version, those that fail the checks). They are fitted on a bounded sample; the threshold is calibrated for precision on all such
-rows held out (a third, by hash); without LEAST of these nothing is added. Numbers with neither label are what the trees
-decide on. The trees are applied as one SQL expression. Positions come from the lengths of the pieces that a split leaves, summed
+version, those that fail the checks). These labels only teach: every number that touches no reported span is judged by the trees, labelled or not.
+They are fitted on a bounded sample; a threshold for each kind (13 digits or more: card, else telephone) is calibrated for precision on
+all such rows held out (a third, by hash); without LEAST of these nothing of that kind is added. The trees are applied as one SQL expression.
+The generators propose numbers of up to 42 characters and spelled-out addresses whose parts have up to 64; the base kinds know no such bounds. Positions come from the lengths of the pieces that a split leaves, summed
 per document.
 
 Defined cases: null counts as empty; a text without digits, "@" or "(at)" is passed over at once; documents that repeat are
@@ -170,16 +171,25 @@ def taught(rows: DataFrame) -> DataFrame:
     return known.unionByName(disguised(rows).select("h", "label", *names))
 
 
-def fit(rows: DataFrame, sample: int, precision: float) -> tuple[Boosted, int]:
-    """Trees from at most sample rows, half of each label, by hash; and the least score bin that counts, from all rows of the held-out third."""
+def fit(rows: DataFrame, sample: int, precision: float) -> tuple[Boosted, dict[bool, int]]:
+    """Trees from at most sample rows, half of each label, by hash; and the least score bin that counts, for cards (True) and telephone numbers, from all
+    rows of the held-out third."""
     names = [*FEATURES, "f_luhn"]
     rows = taught(rows)
     held = F.pmod("h", F.lit(3)) == 2
     some = [r for label in (0, 1) for r in rows.where(~held).where(F.col("label") == label).orderBy("h", *names).limit(sample // 2).collect()]
     x = np.array([[float(r[n]) for n in names] for r in some]).reshape(len(some), len(names))
     model = boost(names, x, np.array([float(r["label"]) for r in some]))
-    bins = rows.where(held).groupBy(score_bin(model).alias("bin")).agg(F.count(F.lit(1)), F.sum("label")).collect()
-    return model, threshold([tuple(r) for r in bins], precision) if any(r[2] for r in bins) else BINS + 1
+    bins = rows.where(held).groupBy(is_card().alias("card"), score_bin(model).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("ones")).collect()
+    cuts = {}
+    for card in (False, True):
+        own = [(r["bin"], r["n"], r["ones"]) for r in bins if r["card"] == card]
+        cuts[card] = threshold(own, precision) if any(r[2] for r in own) else BINS + 1
+    return model, cuts
+
+
+def is_card() -> Column:
+    return F.col("f_digits") >= 13
 
 
 def score_bin(model: Boosted) -> Column:
@@ -189,12 +199,12 @@ def score_bin(model: Boosted) -> Column:
 def find(docs: DataFrame, keep: list[str], sample: int = 6_000, precision: float = 0.98) -> DataFrame:
     """Per document the kept columns, spans (base and added, array of kind, start, end, base) in the order of kinds, then start."""
     rows = durable(labelled(candidates(docs, keep)))
-    model, cut = fit(rows, sample, precision)
-    more = (F.col("kind") == "number") & F.col("label").isNull() & ~F.col("touches") & (score_bin(model) >= cut)
+    model, cuts = fit(rows, sample, precision)
+    more = (F.col("kind") == "number") & ~F.col("touches") & (score_bin(model) >= F.when(is_card(), cuts[True]).otherwise(cuts[False]))
     rows = rows.withColumn("more", F.coalesce(more, F.lit(False)))
     chosen = Window.partitionBy("__rid").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
     free = F.coalesce(F.max(F.when(F.col("more"), F.col("end"))).over(chosen) <= F.col("start"), F.lit(True))
-    named = F.when(F.col("kind") == "number", F.when(F.col("f_digits") >= 13, "card").otherwise("phone")).when(F.col("kind") == "spelled", "email").otherwise(F.col("kind"))
+    named = F.when(F.col("kind") == "number", F.when(is_card(), "card").otherwise("phone")).when(F.col("kind") == "spelled", "email").otherwise(F.col("kind"))
     place = F.array_position(F.array(*map(F.lit, KINDS)), named)
     rows = rows.withColumn("free", free)
     span = F.when(F.col("ok") | F.col("address") | (F.col("more") & F.col("free")), F.struct(place.alias("k"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), named.alias("kind"), F.col("ok").alias("base")))

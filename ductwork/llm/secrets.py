@@ -5,7 +5,8 @@ A random forest judges each by its length, character transitions, dictionary cov
 are common in the corpus), its path (how many candidates the document's source has, and the share of secrets among those that the
 formats label) and neighbouring words. It is fitted on labelled findings, at most
 sample rows by hash order; without such labels, findings are labelled by format: fixed provider formats and assigned
-hexadecimal values are secrets; what is placed inside addresses, numbers, or repeats few characters is not.
+hexadecimal values are secrets; what is placed inside addresses, numbers, or repeats few characters is not. The forest doesn't see which
+generator proposed a candidate, as the formats' labels follow it.
 
 Defined cases: null and empty texts have no candidates; findings of one class only make every probability that class; rows that
 repeat give their findings again; texts are scanned whole; a null source counts as empty. Sources are counted in PATHS buckets by
@@ -35,7 +36,7 @@ PROVIDER = re.compile(r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{
 HEX = re.compile(r"[0-9a-f]{16,64}")
 CUES = re.compile(r"(?i)password|passwd|pwd|secret|token|key|auth|credential")
 SAMPLES = re.compile(r"(?i)example|sample|dummy|changeme|xxxx|placeholder")
-FEATURES = ("length", "transitions", "entropy", "digits", "upper", "symbols", "coverage", "assigned", "prefixed", "cue_before", "sample_near", "quoted", "path_candidates", "path_secrets", "neighbour_words")
+FEATURES = ("length", "transitions", "entropy", "digits", "upper", "symbols", "coverage", "cue_before", "sample_near", "quoted", "path_candidates", "path_secrets", "neighbour_words")
 #: Buckets of sources.
 PATHS = 1 << 14
 
@@ -68,7 +69,7 @@ def trigrams(lowered: np.ndarray) -> np.ndarray:
     return (c[:-2] * 676 + c[1:-1] * 26 + c[2:])[ok[:-2] & ok[1:-1] & ok[2:]]
 
 
-def describe(text: str, start: int, end: int, kind: str, common: np.ndarray) -> list[float]:
+def describe(text: str, start: int, end: int, common: np.ndarray) -> list[float]:
     """The features of one candidate, as FEATURES names them; those of the path are 0 until with_paths."""
     value, before, after = text[start:end], text[max(0, start - 40) : start], text[end : end + 20]
     k = kinds_of(value)
@@ -78,7 +79,7 @@ def describe(text: str, start: int, end: int, kind: str, common: np.ndarray) ->
     words = re.findall(r"[A-Za-z\x80-\U0010ffff]{2,}", before + " " + after)
     return [
         len(value), float((k[1:] != k[:-1]).mean()) if len(k) > 1 else 0.0, float(-(p * np.log2(p)).sum()), float((k == 2).mean()), float((k == 1).mean()), float((k == 3).mean()),
-        float(common[grams].sum() / max(1, len(value) - 2)), float(kind == "assigned"), float(kind == "prefixed"), float(bool(CUES.search(before))), float(bool(SAMPLES.search(value + before))),
+        float(common[grams].sum() / max(1, len(value) - 2)), float(bool(CUES.search(before))), float(bool(SAMPLES.search(value + before))),
         float(before[-1:] in ("'", '"')), 0.0, 0.0, float(len(words)),
     ]
 
@@ -122,7 +123,7 @@ def findings(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 source = batch.column(2)[r].as_py() if text else ""
                 for start, end, kind in candidates(text or ""):
                     value = text[start:end]
-                    out.append((batch.column(0)[r].as_py(), start, end, kind, value, weak_label(value, kind, text[max(0, start - 12) : start]), path_of(source, value), describe(text, start, end, kind, common)))
+                    out.append((batch.column(0)[r].as_py(), start, end, kind, value, weak_label(value, kind, text[max(0, start - 12) : start]), path_of(source, value), describe(text, start, end, common)))
             columns = list(zip(*out, strict=True)) if out else [[]] * 8
             types = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.float64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "start", "end", "kind", "value", "weak", "path", "features"])
