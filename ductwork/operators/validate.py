@@ -170,16 +170,51 @@ def depths(segments: DataFrame) -> DataFrame:
     return g1.union(g2).union(g3).union(broken(spread.where(F.col("gap") > DEPTH_TOLERANCE), "G5", detail=F.col("gap")))
 
 
+#: How near pieces touch, and how far around a common node they may, in m.
+TOUCH, AT_NODE = 0.001, 0.15
+
+
+def outside_circle(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column, radius: float) -> Column:
+    """The parts of a segment outside a circle, as array of struct(lo, hi), parameters from 0 to 1."""
+    dx, dy = x2 - x1, y2 - y1
+    whole = dx * dx + dy * dy
+    middle = F.coalesce(F.try_divide((x - x1) * dx + (y - y1) * dy, whole), F.lit(0.0))
+    off = geometry.square_distance(x1 + middle * dx, y1 + middle * dy, x, y)
+    half = F.coalesce(F.sqrt(F.try_divide(F.lit(radius * radius) - off, whole)), F.lit(float("inf")))
+    part = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+    cut = F.array(part(F.lit(0.0), F.least(F.lit(1.0), middle - half)), part(F.greatest(F.lit(0.0), middle + half), F.lit(1.0)))
+    return F.when(off >= radius * radius, F.array(part(F.lit(0.0), F.lit(1.0)))).otherwise(F.filter(cut, lambda p: p["lo"] < p["hi"]))
+
+
 def self_crossings(segments: DataFrame, cell: float = 50.0) -> DataFrame:
-    """Two segments of a variant meet only at a common node."""
-    pieces = segments.where(F.size("pts") > 1).select("id", "variant_id", "start_node", "end_node", "pts", F.explode(F.sequence(F.lit(0), F.size("pts") - 2)).alias("i"))
+    """A segment doesn't cross, touch or fold back over itself; two segments of a variant come nearer than TOUCH only within AT_NODE of a common node."""
+    pieces = segments.where(F.size("pts") > 1).select("id", "variant_id", "start_node", "end_node", F.get("pts", F.lit(0)).alias("p0"), F.element_at("pts", -1).alias("p1"), F.size("pts").alias("n"), "pts", F.explode(F.sequence(F.lit(0), F.size("pts") - 2)).alias("i"))
     a, b = F.get("pts", F.col("i")), F.get("pts", F.col("i") + 1)
-    lines = pieces.select(F.struct("id", "variant_id", "start_node", "end_node", "i").alias("id"), a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2"))
-    near = spatial.segments_near(lines, lines, 0.0, cell).where("left_id.variant_id = right_id.variant_id and left_id.id < right_id.id")
-    crossing = geometry.segments_cross(tuple(map(F.col, ("x1", "y1", "x2", "y2"))), tuple(map(F.col, ("r_x1", "r_y1", "r_x2", "r_y2"))))
-    shared = F.arrays_overlap(F.array("left_id.start_node", "left_id.end_node"), F.array("right_id.start_node", "right_id.end_node"))
-    bad = near.where(crossing | ~shared).select(F.col("left_id.id").alias("id"), F.col("right_id.id").alias("other")).distinct()
-    return broken(bad, "B15", detail=F.col("other"))
+    lines = pieces.select(F.struct("id", "variant_id", "start_node", "end_node", "p0", "p1", "n", "i").alias("id"), a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2"))
+    near = spatial.segments_near(lines, lines, TOUCH, cell).where("left_id.variant_id = right_id.variant_id and (left_id.id < right_id.id or left_id.id = right_id.id and left_id.i < right_id.i)")
+    one, two = tuple(map(F.col, ("x1", "y1", "x2", "y2"))), tuple(map(F.col, ("r_x1", "r_y1", "r_x2", "r_y2")))
+    next_, closing = F.col("right_id.i") == F.col("left_id.i") + 1, (F.col("left_id.i") == 0) & (F.col("right_id.i") == F.col("left_id.n") - 2) & (F.col("left_id.p0") == F.col("left_id.p1"))
+    ux, uy, vx, vy = one[2] - one[0], one[3] - one[1], two[2] - two[0], two[3] - two[1]
+    back = (F.abs(ux * vy - uy * vx) <= 1e-9 * F.sqrt((ux * ux + uy * uy) * (vx * vx + vy * vy))) & (ux * vx + uy * vy < 0)
+    own = near.where("left_id.id = right_id.id").where(F.when(next_ | closing, back).otherwise(F.col("d2") <= 1e-12))
+    others = near.where("left_id.id <> right_id.id").where(F.col("d2") < TOUCH * TOUCH)
+    common = F.array_intersect(F.array("left_id.start_node", "left_id.end_node"), F.array("right_id.start_node", "right_id.end_node"))
+    others = others.withColumn("common", F.filter(common, lambda n: n.isNotNull()))
+    parts = F.array(F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")))
+    left = others.where(F.size("common") > 0).withColumn("part", F.explode(parts))
+    for k in (0, 1):  # what is left of the first segment's piece outside the circles around the common nodes
+        node = F.get("common", F.lit(k))
+        at = F.when(node == F.col("left_id.start_node"), F.col("left_id.p0")).otherwise(F.col("left_id.p1"))
+        ends = tuple(one[c] + F.col(f"part.{t}") * (one[c + 2] - one[c]) for t in ("lo", "hi") for c in (0, 1))
+        cut = F.when(node.isNull(), parts).otherwise(outside_circle(at["x"], at["y"], *ends, AT_NODE))
+        span = F.col("part.hi") - F.col("part.lo")
+        left = left.withColumn("cut", F.explode(cut)).withColumn("part", F.struct((F.col("part.lo") + F.col("cut.lo") * span).alias("lo"), (F.col("part.lo") + F.col("cut.hi") * span).alias("hi")))
+    ends = tuple(one[c] + F.col(f"part.{t}") * (one[c + 2] - one[c]) for t in ("lo", "hi") for c in (0, 1))
+    beyond = left.where(geometry.segment_segment_square(ends, two) < TOUCH * TOUCH)
+    bad = own.select(F.col("left_id.id").alias("id"), F.lit(None).cast("string").alias("other"))
+    for rows in (others.where(F.size("common") == 0), beyond):
+        bad = bad.unionByName(rows.select(F.col("left_id.id").alias("id"), F.col("right_id.id").cast("string").alias("other")))
+    return broken(bad.distinct(), "B15", detail=F.col("other"))
 
 
 def crossings(segments: DataFrame, objects: DataFrame, cell: float = 50.0) -> DataFrame:

@@ -145,11 +145,12 @@ def constraint_crossings(spark, sf_dir):
     return codes(validate.special_crossings(lines(spark, sf_dir), objects(spark, sf_dir, ("road", "gas_pipeline", "park")), RULES, 250.0))
 
 
-@query(f"""with {SUPP}, {SEG.format('su')}, x as (select distinct s.id, t.id as other from seg s join seg t on s.id % 3 = t.id % 3 and s.id::VARCHAR < t.id::VARCHAR where {SEGDIST} <= 0 and
-  (({_cr('s', 't.x1', 't.y1')} * {_cr('s', 't.x2', 't.y2')} < 0 and {_cr('t', 's.x1', 's.y1')} * {_cr('t', 's.x2', 's.y2')} < 0) or abs(s.id - t.id) <> 1)) select 'B15' as code, id::VARCHAR as id from x""")
+@query(f"""with {SUPP}, {SEG.format('su')}, near as (select s.*, t.id as other, t.x1 as u1, t.y1 as v1, t.x2 as u2, t.y2 as v2, sqrt((s.x2 - s.x1) ** 2 + (s.y2 - s.y1) ** 2) as len from seg s join seg t on s.id // 2 % 3 = t.id // 2 % 3 and s.id::VARCHAR < t.id::VARCHAR where {SEGDIST} < 0.000001),
+cut as (select id, other, case when other = id - 1 then x1 + (x2 - x1) * 0.15 / len else x1 end as x1, case when other = id - 1 then y1 + (y2 - y1) * 0.15 / len else y1 end as y1, case when other = id + 1 then x2 - (x2 - x1) * 0.15 / len else x2 end as x2, case when other = id + 1 then y2 - (y2 - y1) * 0.15 / len else y2 end as y2 from near where len > 0.15),
+side as (select id, other, u1 as x1, v1 as y1, u2 as x2, v2 as y2 from near), x as (select distinct s.id, s.other from cut s join side t on t.id = s.id and t.other = s.other where {SEGDIST} < 0.000001) select 'B15' as code, id::VARCHAR as id from x""")
 def constraint_self_crossings(spark, sf_dir):
-    """Pipes of one variant meet only at common nodes."""
-    s = lines(spark, sf_dir).withColumn("variant_id", F.col("id") % 3).withColumn("id", F.col("id").cast("string"))
+    """Pipes of one variant meet only at common nodes; neighbours on the chain have one."""
+    s = lines(spark, sf_dir).withColumn("variant_id", F.expr("id div 2 % 3")).withColumn("id", F.col("id").cast("string"))
     return codes(validate.self_crossings(s, 250.0))
 
 
