@@ -6,12 +6,16 @@ numbers clear of ties.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ductwork.operators import zones
-from ductwork.plans.network_queries import CUST, points, px, py, query
+from ductwork.plans.network_queries import BOX, CUST, SUPP, part_boxes, points, px, py, query
+from ductwork.sources import extent
 from ductwork.sources.tables import table
+from ductwork.storage import shared_folder
 
 WALLS = """zb as (select p_partkey as zone, x - h as x1, y - h as y1, x + h as x2, y + h as y2 from (select p_partkey, ((p_partkey * 7919) % 10007 + 31)::DOUBLE as x, ((p_partkey * 104729) % 10009 + 17)::DOUBLE as y, p_size::DOUBLE as h from part)),
 wall as (select zone * 4 as id, zone, x1, y1, x2, y1 as y2 from zb where zone % 3 <> 0 union all select zone * 4 + 1, zone, x2, y1, x2, y2 from zb union all select zone * 4 + 2, zone, x1, y2, x2, y2 from zb union all select zone * 4 + 3, zone, x1, y1, x1, y2 from zb)"""
@@ -49,3 +53,14 @@ def zone_unions(spark, sf_dir):
     w = walls(spark, sf_dir)
     side = lambda f, c: f(c).alias(c)
     return zones.unions(w).join(w, "id").groupBy("part").agg(F.count(F.lit(1)).alias("n_walls"), F.countDistinct("zone").alias("n_zones"), side(F.min, "x1"), side(F.min, "y1"), side(F.max, "x2"), side(F.max, "y2"))
+
+
+@query(f"""with {SUPP}, {BOX}, e as (select min(x) as x1, min(y) as y1, max(x) as x2, max(y) as y2 from su where id in (select s_suppkey from supplier where s_nationkey = 3))
+select box.id, box.x1 as x_min, box.y1 as y_min, box.x2 as x_max, box.y2 as y_max from box, e where box.x2 >= e.x1 - 50 and box.y2 >= e.y1 - 50 and box.x1 <= e.x2 + 50 and box.y1 <= e.y2 + 50""")
+def extent_scan(spark, sf_dir):
+    """Part boxes, kept by place, within 50 m of the extent of one nation's suppliers: the scan skips row groups."""
+    own = table(spark, sf_dir, "supplier").where("s_nationkey = 3").select(px(F.col("s_suppkey")).alias("x"), py(F.col("s_suppkey")).alias("y"))
+    box = extent.extent(own.select(F.col("x").alias("x_min"), F.col("y").alias("y_min"), F.col("x").alias("x_max"), F.col("y").alias("y_max")))
+    path = f"{shared_folder(spark)}/extent-{uuid.uuid4().hex}"
+    extent.keep(part_boxes(spark, sf_dir).toDF("id", *extent.BOX), path)
+    return extent.within(spark, path, box, 50.0)
