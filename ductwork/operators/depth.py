@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ductwork.rules import DEPTH
@@ -92,3 +92,14 @@ def cheapest_states(rows: DataFrame, key: str, order: str, costs: list[Column],
     first = F.array(*[F.lit(0).cast("long") for _ in costs])
     step = lambda acc, s: F.transform(s["c"], lambda c, i: c + F.least(F.get(acc, i), F.array_min(acc) + switch))
     return steps.select(key, F.array_min(F.aggregate("steps", first, step)).alias("total"))
+
+
+def bends(profile: DataFrame) -> DataFrame:
+    """chain_id, n_bends: how often a depth profile changes its slope. profile: chain_id, at, depth; of a station's depths the largest counts.
+
+    Slopes are compared by cross products, so whole numbers stay exact; a null station or depth takes no part."""
+    order = Window.partitionBy("chain_id").orderBy("at")
+    stations = profile.where("at is not null and depth is not null").groupBy("chain_id", "at").agg(F.max("depth").alias("depth"))
+    steps = stations.select("chain_id", "at", "depth", (F.col("at") - F.lag("at").over(order)).alias("run"), (F.col("depth") - F.lag("depth").over(order)).alias("fall"))
+    bent = steps.withColumn("run0", F.lag("run").over(order)).withColumn("fall0", F.lag("fall").over(order))
+    return bent.groupBy("chain_id").agg(F.count_if(F.abs(F.col("fall") * F.col("run0") - F.col("fall0") * F.col("run")) > 1e-9).alias("n_bends"))

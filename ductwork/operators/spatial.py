@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ductwork.functions import geometry
+from ductwork.operators.ranks import ranked
 from ductwork.storage import durable
 
 
@@ -93,6 +94,15 @@ def growing(left: DataFrame, near, far, right_points: DataFrame, k: int, first_r
     return reduce(DataFrame.unionByName, [*found, durable(top(far(rest)))])
 
 
+def groups_by_distance(points: DataFrame, segments: DataFrame, first_radius: float) -> DataFrame:
+    """Groups of points in the order of their least distance from a network: group_id, d2, place (from 0; ties to the smaller group).
+
+    points: id, x, y, group_id; a group whose points have no place, or any group where there are no segments, isn't listed."""
+    near = nearest_segments(points.where("x is not null and y is not null"), segments, 1, first_radius)
+    least = near.join(points.select(F.col("id").alias("left_id"), "group_id"), "left_id").groupBy("group_id").agg(F.min("d2").alias("d2"))
+    return ranked(least, [F.col("d2"), F.col("group_id")]).select("group_id", "d2", F.col("__rank").alias("place"))
+
+
 def spread_pairs(few: DataFrame, many: DataFrame, most: int = 64) -> DataFrame:
     """Every row of few with every row of many (right_id, …): many is dealt out by hash, few stands at every share."""
     shares = min(most, int(few.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -11,8 +11,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ductwork.operators import zones
-from ductwork.plans.network_queries import BOX, CUST, SUPP, part_boxes, points, px, py, query
+from ductwork.operators import depth, spatial, zones
+from ductwork.plans.network_queries import BOX, CUST, SEG, SUPP, _ps, chain, part_boxes, points, px, py, query
 from ductwork.sources import extent
 from ductwork.sources.tables import table
 from ductwork.storage import shared_folder
@@ -64,3 +64,20 @@ def extent_scan(spark, sf_dir):
     path = f"{shared_folder(spark)}/extent-{uuid.uuid4().hex}"
     extent.keep(part_boxes(spark, sf_dir).toDF("id", *extent.BOX), path)
     return extent.within(spark, path, box, 50.0)
+
+
+@query(f"""with {CUST}, {SUPP}, {SEG.format('su')}, d as (select c_nationkey as group_id, min({_ps('cu.x', 'cu.y', 's')}) as d2 from cu join customer on c_custkey = cu.id join seg s on true group by 1)
+select group_id, floor(d2 * 100 + 0.5) / 100.0::DOUBLE as d2, (row_number() over (order by d2, group_id) - 1)::BIGINT as place from d""")
+def districts_by_distance(spark, sf_dir):
+    """Nations as districts, nearest to the network first."""
+    nation = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("group_id"))
+    found = spatial.groups_by_distance(points(spark, sf_dir, "customer", "c_custkey").join(nation, "id"), chain(points(spark, sf_dir, "supplier", "s_suppkey")), 200.0)
+    return found.withColumn("d2", F.floor(F.col("d2") * 100 + 0.5) / 100.0)
+
+
+@query("""with p as (select l_orderkey, l_linenumber * 10 as st, max(l_quantity::BIGINT % 5) as depth from lineitem group by 1, 2), s as (select l_orderkey, st, depth, st - lag(st) over w as run, depth - lag(depth) over w as fall from p window w as (partition by l_orderkey order by st)),
+b as (select *, lag(run) over w as run0, lag(fall) over w as fall0 from s window w as (partition by l_orderkey order by st)) select l_orderkey as chain_id, coalesce(sum(case when fall * run0 <> fall0 * run then 1 else 0 end), 0)::BIGINT as n_bends from b group by 1""")
+def depth_bends(spark, sf_dir):
+    """Orders as depth profiles, a station a line: changes of slope."""
+    p = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chain_id"), (F.col("l_linenumber") * 10).alias("at"), (F.col("l_quantity").cast("long") % 5).alias("depth"))
+    return depth.bends(p)
