@@ -1,6 +1,6 @@
 """Drawn violations, and their lawful neighbours, of constraints whose registered queries sow none: B11, D5, G8."""
 
-from ductwork.operators import validate
+from ductwork.operators import depth, spatial, validate
 from ductwork.rules import Rules
 
 R = Rules()
@@ -33,3 +33,13 @@ def test_g8_cover_under_roads_and_tracks(spark):
     schema = "id string, laying string, dn int, pts array<struct<x:double,y:double>>, depth_start double, depth_end double, length double"
     found = validate.crossing_depths(spark.createDataFrame(pipes, schema), spark.createDataFrame(edges, EDGE), R)
     assert rows(found) == [("G8", "between", "2"), ("G8", "falling", "1"), ("G8", "shallow", "1"), ("G8", "shallow", "2")]
+
+
+def test_bends_and_districts(spark):
+    profile = [(1, 0, 3.0), (1, 10, 3.0), (1, 20, 4.0), (1, 30, 5.0), (1, 40, 5.0), (1, 40, 4.5), (2, 0, 3.0), (3, 5, None), (3, None, 1.0)]
+    assert {tuple(r) for r in depth.bends(spark.createDataFrame(profile, "chain_id long, at long, depth double")).collect()} == {(1, 2), (2, 0)}
+    points = [(1, 0.0, 5.0, "b"), (2, 0.0, 900.0, "b"), (3, 5.0, 5.0, "a"), (4, 5.0, 2.0, "c"), (5, None, 1.0, "d"), (6, 9000.0, 0.0, "e")]
+    pipe = [(7, 0.0, 0.0, 10.0, 0.0)]
+    place = lambda rows: [tuple(r) for r in spatial.groups_by_distance(spark.createDataFrame(points, "id long, x double, y double, group_id string"), spark.createDataFrame(rows, "id long, x1 double, y1 double, x2 double, y2 double"), 100.0).orderBy("place").collect()]
+    assert place(pipe) == [("c", 4.0, 0), ("a", 25.0, 1), ("b", 25.0, 2), ("e", 8990.0**2, 3)]
+    assert place([]) == []
