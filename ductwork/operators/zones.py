@@ -41,13 +41,14 @@ def touching(walls: DataFrame, cell: float = 100.0) -> DataFrame:
     t = F.try_divide((two[0] - one[0]) * vy - (two[1] - one[1]) * vx, ux * vy - uy * vx)
     met = F.struct(F.lit(0.0).alias("d2"), (one[0] + t * ux).alias("x"), (one[1] + t * uy).alias("y"))
     at = F.when(geometry.segments_cross(one, two) & t.isNotNull(), met).otherwise(F.array_min(F.array(*ways)))
-    return near.withColumn("at", at).select(F.col("left_id.id").alias("a"), F.col("right_id.id").alias("b"), "at.x", "at.y").dropDuplicates(["a", "b"])
+    pairs = near.withColumn("at", at).select(F.col("left_id.id").alias("a"), F.col("right_id.id").alias("b"), "at.x", "at.y")
+    return pairs.dropDuplicates(["a", "b"]) if walls.groupBy("id").count().where("count > 1").limit(1).count() else pairs  # else each pair stands once
 
 
 def unions(walls: DataFrame, cell: float = 100.0) -> DataFrame:
     """The connected parts of the union of all walls: id of each wall and part (the smallest id in it)."""
     found = trees.components(touching(walls, cell).select("a", "b"))
-    return walls.select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("comp", "id").alias("part"))
+    return walls.select("id").join(found.withColumnRenamed("node", "id").hint("merge"), "id", "left").select("id", F.coalesce("comp", "id").alias("part"))
 
 
 def odd(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:

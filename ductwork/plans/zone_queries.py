@@ -52,7 +52,7 @@ def zone_unions(spark, sf_dir):
     """The connected parts of all walls, with their boxes."""
     w = walls(spark, sf_dir)
     side = lambda f, c: f(c).alias(c)
-    return zones.unions(w).join(w, "id").groupBy("part").agg(F.count(F.lit(1)).alias("n_walls"), F.countDistinct("zone").alias("n_zones"), side(F.min, "x1"), side(F.min, "y1"), side(F.max, "x2"), side(F.max, "y2"))
+    return zones.unions(w).join(w.hint("merge"), "id").groupBy("part").agg(F.count(F.lit(1)).alias("n_walls"), F.countDistinct("zone").alias("n_zones"), side(F.min, "x1"), side(F.min, "y1"), side(F.max, "x2"), side(F.max, "y2"))
 
 
 @query(f"""with {SUPP}, {BOX}, e as (select min(x) as x1, min(y) as y1, max(x) as x2, max(y) as y2 from su where id in (select s_suppkey from supplier where s_nationkey = 3))
